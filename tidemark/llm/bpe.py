@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -26,6 +27,15 @@ REMEMBERED = 300_000
 #: Characters that str.split() takes as white space but the vocabulary's normalizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Runs that stand for themselves among byte letters.
+PLAIN = re.compile(r"[\x21-\x7e]+").fullmatch
+#: Lower-case runs in which the standard library's patterns can tell letters, digits and the rest as the vocabulary's does.
+LATIN = re.compile(r"[\x21-\x7eß-öø-ÿ]+").fullmatch
+
+
+def raw_ids(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def byte_letters() -> list[str]:
@@ -67,7 +77,9 @@ class Codec:
         self.merges = {(v[a], v[b]): (rank, v[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.letters = byte_letters()
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"])
+        pattern = steps[0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern)
+        self.latin = re.compile(pattern.replace(r"[\p{L}]", "[a-zß-öø-ÿ]").replace(r"\p{L}", "a-zß-öø-ÿ").replace(r"\p{N}", "0-9"))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = tuple(self.special)
         self.of_piece = Remembered(self.merge, REMEMBERED * 2 // 3)
@@ -95,14 +107,16 @@ class Codec:
                     heappush(queue, (*found, k))
             if (prev := before[k]) >= 0 and (found := merges.get((ids[prev], made))):
                 heappush(queue, (*found, prev))
-        return np.array([i for i in ids if i is not None], "<u4").tobytes()
+        return raw_ids([i for i in ids if i is not None])
 
     def word(self, word: str) -> bytes:
         """Ids of a run without white space. No piece, and no step of the normalizer, reaches across white space."""
         plain = word if word.isascii() else unicodedata.normalize("NFC", word)
         plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)  # no rule for a final sigma
         of = self.of_piece
-        return b"".join([of[p] for p in self.pieces.findall(plain)])
+        if plain.isalpha():  # the pattern's runs of letters
+            return of[plain]
+        return b"".join([of[p] for p in (self.latin if LATIN(plain) else self.pieces).findall(plain)])
 
     def segment(self, text: str) -> bytes:
         words = SPACE.split(text) if ODD_SPACE.search(text) else text.split()
@@ -113,7 +127,7 @@ class Codec:
         if not text:
             return b""
         if self.cut and any(m in text for m in self.marks):
-            return b"".join(np.array([self.special[s]], "<u4").tobytes() if s in self.special else self.segment(s) for s in self.cut.split(text))
+            return b"".join(raw_ids([self.special[s]]) if s in self.special else self.segment(s) for s in self.cut.split(text))
         return self.segment(text)
 
     def encode(self, text: str | None) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, ppm, simhash, simple8b
 
 
 def vocabulary() -> str:
@@ -22,13 +22,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.round_trip(table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op6_token_files, op8_ppm, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
