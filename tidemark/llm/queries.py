@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, ppm, quality, simhash, simple8b
+from . import bpe, chat, decontaminate, langid, licenses, ppm, quality, secrets, simhash, simple8b
 
 
 def vocabulary() -> str:
@@ -29,6 +29,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"))))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,17 +45,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.round_trip(table(spark, sf_dir, "documents"), vocabulary()).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_corpus(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_chat, op4_quality, op5_licenses, op6_token_files, op8_ppm, op10_bpe)}
+    own = (op1_simhash, op2_chat, op3_langid, op4_quality, op5_licenses, op6_token_files, op7_secrets, op8_ppm, op9_decontaminate, op10_bpe)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
