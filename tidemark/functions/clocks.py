@@ -24,7 +24,8 @@ def micros_of(timestamp: Column) -> Column:
 
 
 def floor_div(x: Column, by: int) -> Column:
-    return ((x - F.pmod(x, F.lit(by))) / by).cast("bigint")
+    """x / by rounded down, in 64-bit integers all the way."""
+    return F.call_function("div", x - F.pmod(x, F.lit(by)), F.lit(by))
 
 
 def as_timestamp(ns: Column) -> Column:

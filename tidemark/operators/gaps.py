@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clocks import floor_div
+
 KEY = ["market", "stream", "gap_id"]
 
 
@@ -77,7 +79,7 @@ def match_intervals(transitions: DataFrame, gaps: DataFrame, by: list[str], bin_
     kept = [*by, *carry, "gap_id", "started_at_ns", "ended_at_ns", "original_connection", "renewed_connection"]
     old = t.join(g.withColumn("old_connection", F.col("original_connection")), [*by, "old_connection"]).select(*kept)
     new = t.join(g.withColumn("new_connection", F.col("renewed_connection")), [*by, "new_connection"]).select(*kept)
-    bins = lambda ns: F.floor(ns / bin_ns).cast("bigint")
+    bins = lambda ns: floor_div(ns, bin_ns)
     closed = g.where("ended_at_ns is not null and ended_at_ns >= started_at_ns").withColumn("bin", F.explode(F.sequence(bins(F.col("started_at_ns")), bins(F.col("ended_at_ns")))))
     during = t.withColumn("bin", bins(F.col("at_ns"))).join(closed, [*by, "bin"]).where(time_ok).select(*kept)
     still_open = t.join(g.where("ended_at_ns is null"), by).where(F.col("started_at_ns") <= F.col("at_ns")).select(*kept)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import events, stars
+
 
 def queries() -> dict:
-    return {}
+    return events.QUERIES | stars.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return events.SQL | stars.SQL
