@@ -47,9 +47,11 @@ def capacity_state(free: Column, hard_reserve: int, emergency: int, critical: in
 
 def eta(now_ns: Column, free: Column, threshold: Column, rate: Column) -> tuple[Column, Column]:
     """(status, nanosecond) at which free space falls to a threshold, at `rate` bytes a second (null: unknown)."""
-    at = now_ns.cast("decimal(38,0)") + F.floor((free - threshold) / rate * 1_000_000_000).cast("decimal(38,0)")
+    seconds = (free - threshold) / rate
+    soon = seconds <= (F.lit(str(LAST_NS)).cast("decimal(38,0)") - now_ns).cast("double") / 1_000_000_000
+    at = now_ns.cast("decimal(38,0)") + F.floor(F.when(soon, seconds * 1_000_000_000).try_cast("decimal(38,6)"))
     forecast = (free > threshold) & (rate > 0)
-    status = ladder((free <= threshold, "REACHED"), (rate.isNull(), "INSUFFICIENT_DATA"), (rate <= 0, "NOT_APPROACHING"), (at > F.lit(str(LAST_NS)).cast("decimal(38,0)"), "BEYOND_SUPPORTED_RANGE"), otherwise="FORECAST")
+    status = ladder((free <= threshold, "REACHED"), (rate.isNull(), "INSUFFICIENT_DATA"), (rate <= 0, "NOT_APPROACHING"), (~soon, "BEYOND_SUPPORTED_RANGE"), otherwise="FORECAST")
     return status, F.when(free <= threshold, now_ns.cast("decimal(38,0)")).when(forecast & (status == "FORECAST"), at)
 
 
