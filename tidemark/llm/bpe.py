@@ -33,6 +33,11 @@ PLAIN = re.compile(r"[\x21-\x7e]+").fullmatch
 LATIN = re.compile(r"[\x21-\x7eß-öø-ÿ]+").fullmatch
 
 
+def unassigned(text: str) -> bool:
+    """Has it characters that Python's Unicode tables don't know? Pattern libraries differ on what those are."""
+    return any(unicodedata.category(c) == "Cn" for c in text)
+
+
 def raw_ids(ids: list[int]) -> bytes:
     """Little-endian 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -67,6 +72,7 @@ class Codec:
     """Text to ids and back, as the file's own library does without truncation, padding or added special tokens."""
 
     def __init__(self, spec: dict):
+        self.spec, self.library = spec, None
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
@@ -87,7 +93,11 @@ class Codec:
 
     def merge(self, piece: str) -> bytes:
         """Ids of one piece, as little-endian 32-bit integers."""
-        letters = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
+        return self.merge_letters(piece if PLAIN(piece) else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]))
+
+    def merge_letters(self, piece: str) -> bytes:
+        """Ids of one piece in byte letters."""
+        letters = list(piece)
         letters[-1] += self.end
         ids = [i for i in map(self.vocab.get, letters) if i is not None]
         n, merges = len(ids), self.merges
@@ -111,6 +121,8 @@ class Codec:
 
     def word(self, word: str) -> bytes:
         """Ids of a run without white space. No piece, and no step of the normalizer, reaches across white space."""
+        if not word.isascii() and not LATIN(word.lower()) and unassigned(word):
+            return self.newer_word(word)
         plain = word if word.isascii() else unicodedata.normalize("NFC", word)
         plain = plain.lower() if "Σ" not in plain else "".join(c.lower() for c in plain)  # no rule for a final sigma
         of = self.of_piece
@@ -118,6 +130,15 @@ class Codec:
             return of[plain]
         return b"".join([of[p] for p in (self.latin if LATIN(plain) else self.pieces).findall(plain)])
 
+    def newer_word(self, word: str) -> bytes:
+        """The same where only the library's own tables can say what is a letter; merging is ours all the same."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(json.dumps(self.spec))
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))
+        return b"".join([self.merge_letters(p) for p, _ in pieces])
+
     def segment(self, text: str) -> bytes:
         words = SPACE.split(text) if ODD_SPACE.search(text) else text.split()
         of = self.of_word

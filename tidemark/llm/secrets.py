@@ -25,13 +25,13 @@ ASSIGN = NAMES + r"[\"']? ?[:=] ?[\"']?"
 #: Shapes in order; the first that matches at a place is taken.
 KINDS = {
     "private-key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
-    "access-key-id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "hosting-token": r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,})",
-    "payment-key": r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
-    "chat-token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "web-token": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "access-key-id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "hosting-token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,})",
+    "payment-key": r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
+    "chat-token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
+    "web-token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "assigned": ASSIGN + r"[^\s\"',;]{8,}",
-    "generic": r"\b(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
+    "generic": r"(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
 }
 CANDIDATE = "|".join(KINDS.values())
 #: Texts without any of these have no candidate.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .bpe import PLAIN, Codec, raw_ids, read_vocabulary
+from .bpe import Codec, raw_ids, read_vocabulary
 
 MAGIC, HEAD, RUN, ESCAPE = b"TS8B", struct.Struct("<4sIIIQ"), 16384, 15
 #: (ids in a word, bits of each), from the most ids down; the place is the selector.
@@ -152,9 +152,8 @@ class LibraryCodec(Codec):
         super().__init__(json.loads(spec))
         self.model = Tokenizer.from_str(spec).model
 
-    def merge(self, piece: str) -> bytes:
-        text = piece if PLAIN(piece) else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return raw_ids([t.id for t in self.model.tokenize(text)])
+    def merge_letters(self, piece: str) -> bytes:
+        return raw_ids([t.id for t in self.model.tokenize(piece)])
 
 
 _codecs: dict[int, LibraryCodec] = {}
