@@ -15,7 +15,7 @@ from tidemark.operators.dedup import deduplicate_events
 from tidemark.operators.parse import parse_stream
 from tidemark.sinks import tables as sinks
 from tidemark.sinks.rawchunk import to_chunks, with_rotation
-from tidemark.sources import cbor, tables
+from tidemark.sources import builds, cbor, tables
 from tidemark.sources.rawchunk import Fault, read_chunk, read_chunks, scan_chunks
 
 
@@ -87,6 +87,19 @@ def test_raw_to_build(spark, chunks, tmp_path):
     with pytest.raises(tables.IncompleteSource):
         tables.verify_rows(build, 31)
     assert build.select(F.sum("duplicate_count")).first()[0] == 60
+    assert builds.list_builds(spark, str(tmp_path)) == [identity]
+    opened = builds.Build(spark, str(tmp_path), identity)
+    opened.verify()
+    assert opened.rows("spot", "diff_depth", last_day="2025-01-01").count() == 0 and opened.rows("spot", "diff_depth", first_day="2026-01-01").count() == 30
+    for bad in ("latest", "0" * 64):
+        with pytest.raises(tables.IncompleteSource):
+            builds.Build(spark, str(tmp_path), bad)
+    path = tmp_path / identity / "manifest.json"
+    (tmp_path / identity / ".manifest.json.crc").unlink(missing_ok=True)
+    path.write_text(path.read_text().replace('"row_count": 30', '"row_count": 31'))
+    with pytest.raises(tables.IncompleteSource):
+        builds.Build(spark, str(tmp_path), identity)
+    assert builds.config_hash({"a": 1, "b": 2}, ("b",)) == builds.config_hash({"a": 1})
 
 
 def test_sinks_refuse_contradictions(spark, tmp_path):
