@@ -187,7 +187,7 @@ def pair_rate_median(spark, sf_dir):
     """Each connection's samples as free space: the median rate between neighbours."""
     e = frames(spark, sf_dir).withColumn("total", F.lit(1))
     rates = pair_rates(e, ["user_id"], "receive_ns", "total", "cents", ["event_id"])
-    return rates.groupBy("user_id").agg(F.round(F.percentile("rate", F.lit(0.5)), 4).alias("median_rate"), F.count("rate").alias("n_rates"))
+    return rates.groupBy("user_id").agg((F.round(F.percentile("rate", F.lit(0.5)), 4) + 0.0).alias("median_rate"), F.count("rate").alias("n_rates"))
 
 
 def period_gaps(spark, sf_dir):
@@ -252,7 +252,7 @@ SELECT t.id, CASE WHEN w.id IS NULL THEN 'UNMATCHED' WHEN w.d = 'AMBIGUOUS' THEN
   CASE WHEN w.id IS NULL THEN 'NONE' WHEN w.d = 'AMBIGUOUS' THEN 'AMBIGUOUS' ELSE w.kind END AS identity_match, w.gap_id FROM t LEFT JOIN w USING (id)""",
     "metric_counters": BASE + "SELECT receive_date, count(*) AS accepted, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (k IS NULL) AS malformed, CAST(sum(cents) AS BIGINT) AS cents, min(receive_ns) AS first_ns, max(receive_ns) AS last_ns FROM e GROUP BY receive_date",
     "daily_rollup": BASE + "SELECT event_type AS stream, count(*) FILTER (receive_date = '2024-01-10') AS websocket_messages, CAST(coalesce(sum(cents) FILTER (receive_date = '2024-01-10'), 0) AS BIGINT) AS raw_bytes_written, count(*) AS lifetime_websocket_messages, CAST(sum(cents) AS BIGINT) AS lifetime_raw_bytes_written FROM e WHERE receive_date <= '2024-01-10' GROUP BY event_type",
-    "pair_rate_median": BASE + "SELECT user_id, round(quantile_cont(rate, 0.5), 4) AS median_rate, count(rate) AS n_rates FROM (SELECT user_id, CASE WHEN receive_ns > lag(receive_ns) OVER w THEN CAST(lag(cents) OVER w - cents AS DOUBLE) * 1000000000 / (receive_ns - lag(receive_ns) OVER w) END AS rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY receive_ns, event_id)) GROUP BY user_id",
+    "pair_rate_median": BASE + "SELECT user_id, round(quantile_cont(rate, 0.5), 4) + 0.0 AS median_rate, count(rate) AS n_rates FROM (SELECT user_id, CASE WHEN receive_ns > lag(receive_ns) OVER w THEN CAST(lag(cents) OVER w - cents AS DOUBLE) * 1000000000 / (receive_ns - lag(receive_ns) OVER w) END AS rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY receive_ns, event_id)) GROUP BY user_id",
     "period_gaps": BASE + ", p AS (SELECT DISTINCT event_type, receive_ns // 1800000000000 AS period FROM e), s AS (SELECT event_type, min(period) AS a, max(period) AS b FROM p GROUP BY event_type), x AS (SELECT event_type, unnest(range(a, b + 1)) AS period FROM s) SELECT event_type, period FROM x WHERE (event_type, period) NOT IN (SELECT event_type, period FROM p)",
     "severity_changes": BASE + "SELECT event_id, user_id, severity, previous_severity FROM (SELECT *, lag(severity) OVER (PARTITION BY user_id ORDER BY receive_ns, event_id) AS previous_severity FROM (SELECT *, CASE WHEN cents <= 500 THEN 'CRITICAL' WHEN cents <= 2000 THEN 'WARNING' ELSE 'OK' END AS severity FROM e)) WHERE previous_severity IS DISTINCT FROM severity",
     "clock_jumps": BASE + "SELECT event_type, w + greatest(m, 0) AS started_at_ns, receive_ns AS ended_at_ns, receive_ns - w - m AS duration_ns FROM (SELECT *, lag(receive_ns) OVER x AS w, event_id - lag(event_id) OVER x AS m FROM e WINDOW x AS (PARTITION BY event_type ORDER BY event_id, receive_ns)) WHERE receive_ns - w - m >= 3600000000000",
