@@ -2,12 +2,14 @@
 
 Rows share a semantic key (what they are about) and a logical key (what they say). For each pair of keys the
 row of smallest provenance stays, with a count and the ordered list of all sources. Where a semantic key has
-several logical ones, all of them stay and are marked as a conflict. One hash exchange by the semantic key serves
-the aggregate and the window.
+several logical ones, all of them stay and are marked as a conflict. Rows are combined before they are shuffled, so
+a key that holds a third of them costs a row for each task; only variants reach the window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +21,29 @@ def lineage(order: list[str]) -> Column:
     return F.struct(*order)
 
 
-def deduplicate(rows: DataFrame, semantic: list[str], logical: list[str], order: list[str], sources: str = "sources") -> DataFrame:
+def deduplicate(rows: DataFrame, semantic: list[str], logical: list[str], order: list[str], sources: str | None = "sources") -> DataFrame:
     """One row for each (semantic, logical): the first by `order`, with duplicate_count, identity_conflict and `sources`.
 
     `order` must tell any two rows apart, or equal ones are interchangeable. Null keys are keys like any other.
-    Keys are whole groups only as far as their lineage list goes: a list as long as a group is asked for by the result.
+    A lineage list is as long as its group, because that is what it says; without one (sources=None), nothing is, and
+    lineage_rows() gives the same as rows.
     """
     rest = [c for c in rows.columns if c not in {*semantic, *logical, "duplicate_count", "identity_conflict", sources}]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    grouped = rows.repartition(*semantic).groupBy(*semantic, *logical).agg(first.alias("__first"), F.count("*").cast("int").alias("duplicate_count"), F.array_sort(F.collect_list(lineage(order))).alias(sources))
+    found = [F.min_by(F.struct(*rest), F.struct(*order)).alias("__first"), F.count("*").cast("int").alias("duplicate_count")]
+    if sources:
+        found.append(F.array_sort(F.collect_list(lineage(order))).alias(sources))
     variants = F.count("*").over(Window.partitionBy(*semantic))
-    return grouped.withColumn("identity_conflict", variants > 1).select(*semantic, *logical, "__first.*", "duplicate_count", "identity_conflict", sources)
+    grouped = rows.groupBy(*semantic, *logical).agg(*found).withColumn("identity_conflict", variants > 1)
+    return grouped.select(*semantic, *logical, "__first.*", "duplicate_count", "identity_conflict", *([sources] if sources else []))
+
+
+def lineage_rows(rows: DataFrame, semantic: list[str], logical: list[str], order: list[str]) -> DataFrame:
+    """A row for each source of each (semantic, logical), with whether it is the one that stays: no list of a group is ever made."""
+    first = rows.groupBy(*semantic, *logical).agg(F.min(F.struct(*order)).alias("__first"))
+    keys = [*semantic, *logical]
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    joined = rows.select(*keys, *order).alias("l").join(first.alias("r"), reduce(lambda a, b: a & b, same))
+    return joined.select(*(F.col(f"l.{c}") for c in [*keys, *order]), F.struct(*(F.col(f"l.{c}") for c in order)).eqNullSafe(F.col("r.__first")).alias("is_winner"))
 
 
 def deduplicate_events(candidates: DataFrame, scope: str = "global") -> DataFrame:

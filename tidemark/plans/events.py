@@ -59,6 +59,12 @@ def identity_conflicts(spark, sf_dir):
     return out.agg(F.count_if("identity_conflict").alias("conflict_rows"), F.count("*").alias("n_rows"), F.sum("duplicate_count").alias("candidates"))
 
 
+def dup_lineage_rows(spark, sf_dir):
+    from ..operators.dedup import lineage_rows
+
+    return lineage_rows(keyed(spark, sf_dir), ["semantic"], ["logical"], ["receive_ns", "event_id"])
+
+
 def dup_lineage(spark, sf_dir):
     out = deduplicate(keyed(spark, sf_dir), ["semantic"], ["logical"], ["receive_ns", "event_id"])
     return out.select("semantic", "logical", F.array_join(F.transform("sources", lambda s: s["event_id"].cast("string")), ",").alias("lineage"))
@@ -218,6 +224,45 @@ def audit_rollup(spark, sf_dir):
     return gaps.audit_tallies(e, ["event_type"], "kind")
 
 
+def wait_percentiles(spark, sf_dir):
+    counts = metrics.histogram(lags(spark, sf_dir).withColumn("lag", F.col("lag") * 10), ["event_type"], "lag", metrics.WAIT_BOUNDS)
+    return metrics.wait_percentile(counts, ["event_type"], {"p50": 0.5, "p99": 0.99})
+
+
+def metric_merge(spark, sf_dir):
+    """A user's frames as batches: additive counts, bounds, and a gauge's greatest and last value."""
+    e = frames(spark, sf_dir).select("user_id", F.lit(1).cast("bigint").alias("n"), F.col("receive_ns").alias("first"), F.col("receive_ns").alias("last"), F.col("cents").alias("depth_max"), F.col("cents").alias("depth_last"), F.col("receive_ns").alias("committed_at_ns"), F.col("event_id").alias("batch_id"))
+    return metrics.merge(e, ["user_id"], ["n"], ("first",), ("last",), ("depth",))
+
+
+def chunk_boundaries(spark, sf_dir):
+    """Hours of a stream as chunks; every third is empty and marks the boundary after it."""
+    e = frames(spark, sf_dir)
+    h = e.groupBy("event_type", floor_div(F.col("receive_ns"), HOUR_NS).alias("hour")).agg(F.min_by("user_id", F.struct("receive_ns", "event_id")).alias("first_connection"), F.max_by("user_id", F.struct("receive_ns", "event_id")).alias("last_connection"), F.count("*").alias("record_count"))
+    empty = F.pmod("hour", F.lit(3)) == 0
+    h = h.withColumns({"chunk_id": F.col("hour").cast("string"), "record_count": F.when(empty, 0).otherwise(F.col("record_count"))})
+    b = quality.boundaries(h, ["event_type"], ["hour"])
+    return b.select("event_type", "hour", "previous_chunk", "chunk_id", "old_connection", "new_connection", F.array_join("markers", ",").alias("markers"), "is_transition")
+
+
+def recovery_gaps(spark, sf_dir):
+    """Periods since each stream's last that a source may still have, or has no longer."""
+    from ..operators.backfill import recovery_gaps as gaps_of
+
+    e = frames(spark, sf_dir)
+    seen = e.select("event_type", (floor_div(F.col("receive_ns"), FIVE_MINUTES_NS) * 300_000).alias("period_ms"))
+    return gaps_of(seen, ["event_type"], now_ms=1_706_800_000_000, retention_ms=3_600_000)
+
+
+def chunk_completeness(spark, sf_dir):
+    """Hours of a stream as chunks with flags: complete, gap, and the flag that unproven reconnects force."""
+    e = frames(spark, sf_dir)
+    h = e.groupBy("event_type", floor_div(F.col("receive_ns"), HOUR_NS).alias("hour")).agg(F.array_sort(F.collect_set(F.col("user_id").cast("string"))).alias("connection_ids"), F.min("event_id").alias("least"))
+    flags = F.when(F.pmod("least", F.lit(3)) == 0, F.array(F.lit("sequence_gap"))).when(F.pmod("least", F.lit(3)) == 1, F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))
+    done = quality.completeness(h.withColumn("capture_flags", flags), F.pmod("least", F.lit(2)) == 0)
+    return done.select("event_type", "hour", F.array_join("capture_flags", ",").alias("flags"), "complete", "gap")
+
+
 def content_digests(spark, sf_dir):
     """Order-free digests agree however rows are dealt: the difference of two ways is zero."""
     e = frames(spark, sf_dir)
@@ -256,6 +301,10 @@ SELECT t.id, CASE WHEN w.id IS NULL THEN 'UNMATCHED' WHEN w.d = 'AMBIGUOUS' THEN
     "period_gaps": BASE + ", p AS (SELECT DISTINCT event_type, receive_ns // 1800000000000 AS period FROM e), s AS (SELECT event_type, min(period) AS a, max(period) AS b FROM p GROUP BY event_type), x AS (SELECT event_type, unnest(range(a, b + 1)) AS period FROM s) SELECT event_type, period FROM x WHERE (event_type, period) NOT IN (SELECT event_type, period FROM p)",
     "severity_changes": BASE + "SELECT event_id, user_id, severity, previous_severity FROM (SELECT *, lag(severity) OVER (PARTITION BY user_id ORDER BY receive_ns, event_id) AS previous_severity FROM (SELECT *, CASE WHEN cents <= 500 THEN 'CRITICAL' WHEN cents <= 2000 THEN 'WARNING' ELSE 'OK' END AS severity FROM e)) WHERE previous_severity IS DISTINCT FROM severity",
     "clock_jumps": BASE + "SELECT event_type, w + greatest(m, 0) AS started_at_ns, receive_ns AS ended_at_ns, receive_ns - w - m AS duration_ns FROM (SELECT *, lag(receive_ns) OVER x AS w, event_id - lag(event_id) OVER x AS m FROM e WINDOW x AS (PARTITION BY event_type ORDER BY event_id, receive_ns)) WHERE receive_ns - w - m >= 3600000000000",
+    "metric_merge": BASE + "SELECT user_id, count(*) AS n, min(receive_ns) AS first, max(receive_ns) AS last, max(cents) AS depth_max, arg_max(cents, (receive_ns, event_id)) AS depth_last FROM e GROUP BY user_id",
+    "chunk_boundaries": BASE + ", h AS (SELECT event_type, receive_ns // 3600000000000 AS hour, arg_min(user_id, (receive_ns, event_id)) AS fc, arg_max(user_id, (receive_ns, event_id)) AS lc FROM e GROUP BY ALL), f AS (SELECT *, lag(hour) OVER w AS p, lag(lc) OVER w AS oc FROM h WHERE hour % 3 <> 0 WINDOW w AS (PARTITION BY event_type ORDER BY hour)) SELECT f.event_type, f.hour, CAST(p AS VARCHAR) AS previous_chunk, CAST(f.hour AS VARCHAR) AS chunk_id, oc AS old_connection, fc AS new_connection, coalesce((SELECT string_agg(CAST(m.hour AS VARCHAR), ',' ORDER BY m.hour) FROM h m WHERE m.event_type = f.event_type AND m.hour % 3 = 0 AND m.hour > f.p AND m.hour < f.hour), '') AS markers, oc <> fc AS is_transition FROM f WHERE p IS NOT NULL",
+    "recovery_gaps": BASE + ", c AS (SELECT event_type, max(receive_ns // 300000000000) * 300000 AS cursor FROM e GROUP BY event_type), d AS (SELECT event_type, unnest(range(cursor + 300000, 1706800000000 // 300000 * 300000, 300000)) AS period_ms FROM c) SELECT event_type, period_ms, CASE WHEN period_ms < 1706800000000 - 3600000 THEN 'SIDE_DATA_UNRECOVERABLE_GAP' ELSE 'SIDE_DATA_CATCH_UP' END AS event FROM d",
+    "chunk_completeness": BASE + ", h AS (SELECT event_type, receive_ns // 3600000000000 AS hour, count(DISTINCT user_id) AS n, min(event_id) AS least FROM e GROUP BY ALL), x AS (SELECT *, least % 3 <> 0 AND n > 1 AND least % 2 = 0 AS forced FROM h) SELECT event_type, hour, CASE WHEN least % 3 = 0 THEN 'sequence_gap' WHEN least % 3 = 1 AND forced THEN 'duplicate,reconnect_gap' WHEN least % 3 = 1 THEN 'duplicate' WHEN forced THEN 'reconnect_gap' ELSE '' END AS flags, NOT (least % 3 = 0 OR forced) AS complete, least % 3 = 0 OR forced AS gap FROM x",
     "stream_union": BASE + "SELECT event_id, receive_ns, k AS update_id, NULL::BIGINT AS price FROM e WHERE event_type = 'click' UNION ALL SELECT event_id, receive_ns, NULL, cents FROM e WHERE event_type = 'purchase'",
     "audit_rollup": BASE + "SELECT event_type, count(*) AS total, count(*) FILTER (event_id % 3 = 0) AS matched, count(*) FILTER (event_id % 3 = 1) AS unmatched, 0::BIGINT AS ambiguous, count(*) FILTER (event_id % 3 = 2) AS pending FROM e GROUP BY ROLLUP (event_type)",
     "content_digests": BASE + "SELECT DISTINCT event_type, true AS same FROM e",
@@ -267,8 +316,11 @@ HISTOGRAM = BASE + f", b AS (SELECT * FROM (VALUES {BOUNDS}) t(bound)), l AS (SE
 SQL |= {
     "semantic_dedup": KEYED + "SELECT semantic, logical, event_id, duplicate_count, identity_conflict FROM v",
     "identity_conflicts": KEYED + "SELECT count(*) FILTER (identity_conflict) AS conflict_rows, count(*) AS n_rows, CAST(sum(duplicate_count) AS BIGINT) AS candidates FROM v",
+    "dup_lineage_rows": KEYED + "SELECT y.semantic, y.logical, y.receive_ns, y.event_id, y.event_id = d.event_id AS is_winner FROM y JOIN d USING (semantic, logical)",
     "dup_lineage": KEYED + "SELECT semantic, logical, lineage FROM v",
     "histogram_counts": HISTOGRAM + "SELECT event_type, coalesce(CAST(bound AS VARCHAR), 'overflow') AS bucket, n FROM h",
-    "histogram_percentiles": HISTOGRAM + ", r AS (SELECT event_type, coalesce(bound, 60000000000) AS v, sum(n) OVER (PARTITION BY event_type ORDER BY coalesce(bound, 1 << 62)) AS run, sum(n) OVER (PARTITION BY event_type) AS total FROM h) SELECT event_type, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.5 + 0.999999999))) AS BIGINT) AS p50, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.95 + 0.999999999))) AS BIGINT) AS p95, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.99 + 0.999999999))) AS BIGINT) AS p99, CAST(max(total) AS BIGINT) AS total FROM r GROUP BY event_type",
+    "histogram_percentiles": HISTOGRAM + ", r AS (SELECT event_type, coalesce(bound, 60000000000) AS v, sum(n) OVER (PARTITION BY event_type ORDER BY coalesce(bound, 4611686018427387904)) AS run, sum(n) OVER (PARTITION BY event_type) AS total FROM h) SELECT event_type, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.5 + 0.999999999))) AS BIGINT) AS p50, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.95 + 0.999999999))) AS BIGINT) AS p95, CAST(min(v) FILTER (run >= greatest(1, floor(total * 0.99 + 0.999999999))) AS BIGINT) AS p99, CAST(max(total) AS BIGINT) AS total FROM r GROUP BY event_type",
 }
+WAITS = ", ".join(f"({b})" for b in metrics.WAIT_BOUNDS)
+SQL["wait_percentiles"] = BASE + f", b AS (SELECT * FROM (VALUES {WAITS}) t(bound)), l AS (SELECT event_type, abs(cents) * 10000030 AS lag FROM e), h AS (SELECT event_type, coalesce((SELECT min(bound) FROM b WHERE bound >= lag), 4611686018427387904) AS bound, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bound) AS run, sum(n) OVER (PARTITION BY event_type) AS total FROM h), p AS (SELECT event_type, min(bound) FILTER (run >= ceil(total * 0.5)) AS a, min(bound) FILTER (run >= ceil(total * 0.99)) AS b FROM r GROUP BY event_type) SELECT event_type, CASE WHEN a = 4611686018427387904 THEN 'overflow' ELSE CAST(a AS VARCHAR) END AS p50, CASE WHEN b = 4611686018427387904 THEN 'overflow' ELSE CAST(b AS VARCHAR) END AS p99 FROM p"
 QUERIES = {name: globals()[name] for name in SQL}

@@ -150,6 +150,51 @@ def forbidden_steps(spark, sf_dir):
     return bad.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
+def verify_summary(spark, sf_dir):
+    files = chunks(spark, sf_dir).select(F.when(F.col("state") == "SEALED", "VERIFIED").when(F.col("state") == "ACTIVE", "PENDING").otherwise("FAILED").alias("state"))
+    return lifecycle.verify_summary(files)
+
+
+def archive_set_counts(spark, sf_dir):
+    return lifecycle.archive_set_counts(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set_id"), F.col("l_shipdate").alias("media_id"), F.col("l_orderkey").alias("artifact_id")))
+
+
+def status_summary(spark, sf_dir):
+    return lifecycle.status_summary(chunks(spark, sf_dir).withColumn("last_receive_ns", F.col("created_ns")), 2_000_000_000_000_000_000, True)
+
+
+def seal_flags(spark, sf_dir):
+    """Customers' orders as chunks of (segment, priority) streams; sealed ones forced, and urgent streams with open gaps."""
+    c = chunks(spark, sf_dir).select("chunk_id", F.pmod("o_custkey", F.lit(9)).cast("string").alias("market"), F.col("o_orderpriority").alias("stream"))
+    intents = chunks(spark, sf_dir).where("state = 'SEALED'").select("chunk_id", F.array(F.lit("recovered_tail")).alias("forced_flags"))
+    gaps_open = c.where(F.col("stream").startswith("1") & (F.pmod("chunk_id", F.lit(50)) == 0)).select("market", "stream")
+    return lifecycle.seal_flags(c, intents, gaps_open).select("chunk_id", F.array_join("flags", ",").alias("flags"), "conflict")
+
+
+def eject_blocked(spark, sf_dir):
+    targets = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("storage_id"))
+    busy = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_suppkey").alias("storage_id"), F.when(F.col("l_returnflag") == "R", "VERIFIED").otherwise("COPYING").alias("state"))
+    return lifecycle.eject_blocked(targets, busy)
+
+
+def readiness_ladder(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    low, odd = F.col("s_acctbal") < 0, F.pmod("s_nationkey", F.lit(5)) == 0
+    r = lifecycle.first_reason((low, "FAILED", "no_balance"), (odd, "NOT_READY", "region_closed"), (F.col("s_acctbal") < 1000, "NOT_READY", "low_balance"))
+    return s.select("s_suppkey", r.alias("r")).select("s_suppkey", "r.state", "r.reason")
+
+
+def backfill_totals(spark, sf_dir):
+    return backfill.totals(backfill.plan(spark, date(2024, 1, 15), date(2024, 4, 10), [("aggTrades", 1000), ("fundingRate", 10)]))
+
+
+def canonical_sides(spark, sf_dir):
+    """Books as text: bids from the highest, asks from the lowest."""
+    b = book.canonical_sides(book_latest_level(spark, sf_dir), ["symbol"], depth=5)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["price"].cast("string"), x["quantity"].cast("string"))), " ")
+    return b.select("symbol", text("bids").alias("bids"), text("asks").alias("asks"))
+
+
 def gap_counts(spark, sf_dir):
     e = frames(spark, sf_dir).where(F.col("event_type").isin("click", "purchase")).select(F.when(F.col("event_type") == "click", "STARTED").otherwise("COMPLETED").alias("kind"), F.col("user_id").alias("gap_id"))
     return gaps.gap_counts(e, table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("gap_id")))
@@ -176,6 +221,14 @@ SQL = {
     "inventory_digest": ORDERS + "SELECT chunk_id // 1000 AS folder, sha256(string_agg('chunk/' || chunk_id, chr(10) ORDER BY 'chunk/' || chunk_id)) AS digest, count(*) AS n FROM o GROUP BY 1",
     "backfill_plan": "WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-15', DATE '2024-04-10', INTERVAL 1 DAY)) AS DATE) AS day), m AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS n FROM d GROUP BY 1) SELECT 'aggTrades' AS data_type, 'monthly' AS granularity, CAST(month AS VARCHAR) AS first_day, CAST(last_day(month) AS VARCHAR) AS last_day, CAST(1000 * day(last_day(month)) AS BIGINT) AS estimated_bytes FROM m WHERE n = day(last_day(month)) UNION ALL SELECT 'fundingRate', 'monthly', CAST(month AS VARCHAR), CAST(last_day(month) AS VARCHAR), 10 * day(last_day(month)) FROM m UNION ALL SELECT 'aggTrades', 'daily', CAST(day AS VARCHAR), CAST(day AS VARCHAR), 1000 FROM d WHERE date_trunc('month', day) IN (SELECT month FROM m WHERE n <> day(last_day(month)))",
     "forbidden_steps": "WITH l AS (SELECT l_orderkey, CASE l_partkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'SEALING' WHEN 2 THEN 'SEALED' ELSE 'QUARANTINED' END AS to_state, lag(CASE l_partkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'SEALING' WHEN 2 THEN 'SEALED' ELSE 'QUARANTINED' END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS from_state FROM lineitem) SELECT from_state, to_state, count(*) AS n FROM l WHERE from_state IS NOT NULL AND (from_state || '>' || to_state) NOT IN ('ACTIVE>SEALING', 'ACTIVE>QUARANTINED', 'SEALING>SEALED', 'SEALING>QUARANTINED') GROUP BY ALL",
+    "verify_summary": ORDERS + "SELECT count(*) FILTER (state = 'SEALED') AS verified, count(*) FILTER (state = 'QUARANTINED') AS failed, count(*) FILTER (state = 'ACTIVE') AS pending FROM o",
+    "archive_set_counts": "SELECT count(DISTINCT l_suppkey) AS sets, count(DISTINCT l_shipdate) AS media, count(DISTINCT l_orderkey) AS artifacts FROM lineitem",
+    "status_summary": ORDERS + "SELECT count(*) FILTER (state = 'ACTIVE') AS open_chunks, count(*) FILTER (state = 'SEALED') AS sealed_chunks, 0::BIGINT AS archived_chunks, count(*) FILTER (state = 'QUARANTINED') AS quarantined_chunks, 2000000000000000000 - max(created_ns) AS last_event_age_ns FROM o",
+    "seal_flags": ORDERS + ", c AS (SELECT *, o_custkey % 9 AS m FROM o), g AS (SELECT m, o_orderpriority, count(*) AS n FROM c WHERE o_orderpriority LIKE '1%' AND chunk_id % 50 = 0 GROUP BY ALL) SELECT chunk_id, CASE WHEN state = 'SEALED' AND n > 0 THEN 'reconnect_gap,recovered_tail' WHEN n > 0 THEN 'reconnect_gap' WHEN state = 'SEALED' THEN 'recovered_tail' ELSE '' END AS flags, coalesce(n > 1, false) AS conflict FROM c LEFT JOIN g USING (m, o_orderpriority)",
+    "eject_blocked": "SELECT s_suppkey AS storage_id FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_returnflag <> 'R')",
+    "readiness_ladder": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'FAILED' WHEN s_nationkey % 5 = 0 OR s_acctbal < 1000 THEN 'NOT_READY' ELSE 'READY' END AS state, CASE WHEN s_acctbal < 0 THEN 'no_balance' WHEN s_nationkey % 5 = 0 THEN 'region_closed' WHEN s_acctbal < 1000 THEN 'low_balance' END AS reason FROM supplier",
+    "canonical_sides": LEVELS + ", r AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS n FROM s) SELECT symbol, coalesce(string_agg(price || ':' || quantity, ' ' ORDER BY n) FILTER (side = 'bid' AND n <= 5), '') AS bids, coalesce(string_agg(price || ':' || quantity, ' ' ORDER BY n) FILTER (side = 'ask' AND n <= 5), '') AS asks FROM r GROUP BY symbol",
     "gap_counts": "SELECT count(DISTINCT user_id) FILTER (event_type = 'click') AS started, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS completed, (SELECT count(DISTINCT c_nationkey) FROM customer) AS matched FROM events",
 }
+SQL["backfill_totals"] = f"SELECT count(*) AS files, CAST(sum(estimated_bytes) AS BIGINT) AS estimated_bytes FROM ({SQL['backfill_plan']})"
 QUERIES = {name: globals()[name] for name in SQL}
