@@ -68,3 +68,8 @@ def month_end(day: Column) -> Column:
 
 def next_month(day: Column) -> Column:
     return F.add_months(F.trunc(day, "month"), 1)
+
+
+def exchange_gap_seconds(before_ms: Column, after_ms: Column, legacy_units: bool = False) -> Column:
+    """Seconds between two exchange clocks; legacy_units takes their milliseconds for nanoseconds, as old reports did."""
+    return (after_ms - before_ms) / (1_000_000_000 if legacy_units else 1_000)
