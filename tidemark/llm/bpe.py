@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Strings that a worker remembers, in each of two generations. It bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Rows of a batch that are worked on together.
+AT_ONCE = 512
 #: Characters that str.split() takes as white space but the vocabulary's normalizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -187,7 +189,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             found = [codec.encode_bytes(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             ends = np.cumsum([0] + [len(b) // 4 for b in found])
             flat = np.frombuffer(b"".join(found), "<i4")
