@@ -102,7 +102,7 @@ def test_run_over_frames_equals_the_machine(spark):
                 rows.append((market, "BTCUSDT", "snapshot", n, k, None, 12, None, json.dumps(B), json.dumps(A)))
                 n += 1
     schema = "market string, symbol string, kind string, receive_time_utc_ns bigint, ordinal bigint, first bigint, final bigint, previous bigint, bids_json string, asks_json string"
-    got = {(r.market, r.receive_time_utc_ns): r for r in book.run_machine(spark.createDataFrame(rows, schema).repartition(6)).collect()}
+    got = {(r.market, r.receive_time_utc_ns): r for r in book.run_machine(spark.createDataFrame(rows, schema).repartition(6), hashes=True).collect()}
     assert len(got) == len(rows)
     for market in ("spot", "um_perpetual"):
         m = Machine(market == "spot")

@@ -102,6 +102,17 @@ def test_raw_to_build(spark, chunks, tmp_path):
     assert builds.config_hash({"a": 1, "b": 2}, ("b",)) == builds.config_hash({"a": 1})
 
 
+def test_chunks_are_read_by_their_own_parser(spark, chunks):
+    _, made, paths = chunks
+    rows = [(r.chunk_id, r.market, r.stream, p, f"h{n}", True, False, None, None, ["f"]) for n, (r, p) in enumerate(zip(made, paths, strict=True))]
+    listed = spark.createDataFrame(rows, "chunk_id string, market string, stream string, path string, uncompressed_sha256 string, complete boolean, gap boolean, resync boolean, recovered boolean, capture_flags array<string>")
+    got = tables.read_candidates(spark, listed)
+    assert got.count() == 30 and got.where("valid and source_capture_flags_json = '[\"f\"]' and not source_resync").count() == 30
+    assert got.select("source_chunk_sha256").distinct().count() == len(made)
+    with pytest.raises(tables.IncompleteSource):
+        tables.read_candidates(spark, listed.where("false"))
+
+
 def test_sinks_refuse_contradictions(spark, tmp_path):
     path = f"{tmp_path}/m.json"
     assert sinks.write_once(spark, path, "a") and not sinks.write_once(spark, path, "a")

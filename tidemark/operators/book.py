@@ -8,6 +8,7 @@ a book and a bounded buffer, whatever the length of the stream.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
@@ -105,6 +106,14 @@ class Machine:
     resync: bool = False
     complete: bool = True
     warned: bool = False
+    prices: dict = field(default_factory=dict)  # of each side, in order
+
+    def clear(self) -> None:
+        self.book, self.prices = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}
+
+    def best(self, side: str) -> Decimal | None:
+        prices = self.prices[side] if self.book is not None else []
+        return prices[-1 if side == "bid" else 0] if prices else None
 
     def audit(self, kind: str, at: int, detail: str = "") -> None:
         self.audits.append((kind, self.update_id, at, detail))
@@ -119,7 +128,7 @@ class Machine:
             return "NEED_MORE_EVENTS"
         if not ready[0]["first"] <= target <= ready[0]["final"]:
             return "SNAPSHOT_TOO_OLD"
-        self.book = {"bid": {}, "ask": {}}
+        self.clear()
         self.put(bids, asks)
         self.update_id, self.buffer, self.warned, again, self.resync = last_update_id, [], False, self.resync, False
         for k, update in enumerate(ready):
@@ -162,18 +171,20 @@ class Machine:
     def put(self, bids: list, asks: list) -> None:
         for side, levels in (("bid", bids), ("ask", asks)):
             for price, quantity in levels:
-                p, q = decimal(price, True), decimal(quantity, False)
+                p, q, known, order = decimal(price, True), decimal(quantity, False), self.book[side], self.prices[side]
+                if q and p not in known:
+                    insort(order, p)
                 if q:
-                    self.book[side][p] = q
-                else:
-                    self.book[side].pop(p, None)
+                    known[p] = q
+                elif known.pop(p, None) is not None:
+                    del order[bisect_left(order, p)]
 
     def apply(self, update: dict) -> None:
         self.put(update["bids"], update["asks"])
         self.update_id = update["final"]
         if not self.book["bid"] or not self.book["ask"]:
             self.audit("empty_book_side", update["at"])
-        elif max(self.book["bid"]) >= min(self.book["ask"]):
+        elif self.best("bid") >= self.best("ask"):
             self.audit("crossed_book", update["at"])
 
     def document(self) -> dict:
@@ -196,7 +207,8 @@ class Machine:
         body = found["body"]
         if sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest() != found["sha256"]:
             raise ValueError("a checkpoint whose hash differs")
-        out = cls(body["spot"], book={"bid": {}, "ask": {}}, update_id=body["book"]["update_id"], gaps=body["gaps"], resync=body["resync"], complete=body["book"]["complete"] and not body["gaps"])
+        out = cls(body["spot"], update_id=body["book"]["update_id"], gaps=body["gaps"], resync=body["resync"], complete=body["book"]["complete"] and not body["gaps"])
+        out.clear()
         out.put(body["book"]["bids"], body["book"]["asks"])
         return out
 
@@ -204,9 +216,9 @@ class Machine:
 OUT = "market string, symbol string, receive_time_utc_ns bigint, result string, update_id bigint, best_bid string, best_ask string, bid_levels int, ask_levels int, complete boolean, logical_sha256 string, audits array<string>"
 
 
-def run_machine(events: DataFrame) -> DataFrame:
+def run_machine(events: DataFrame, hashes: bool = False) -> DataFrame:
     """The machine over events(market, symbol, kind, receive_time_utc_ns, ordinal, first, final, previous, bids_json, asks_json):
-    the state after each event. kind is "snapshot" (final: its id) or "depth"."""
+    the state after each event. kind is "snapshot" (final: its id) or "depth". `hashes` adds each state's, over all its levels."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = Machine(key[0] == "spot")
@@ -219,8 +231,8 @@ def run_machine(events: DataFrame) -> DataFrame:
                     result = machine.snapshot(int(r.final), bids, asks, int(r.receive_time_utc_ns))
                 else:
                     result = machine.offer({"first": int(r.first), "final": int(r.final), "previous": None if pd.isna(r.previous) else int(r.previous), "bids": bids, "asks": asks, "at": int(r.receive_time_utc_ns)})
-                book = machine.book or {"bid": {}, "ask": {}}
-                out.append((key[0], key[1], r.receive_time_utc_ns, result, machine.update_id, plain(max(book["bid"])) if book["bid"] else None, plain(min(book["ask"])) if book["ask"] else None, len(book["bid"]), len(book["ask"]), machine.complete and machine.book is not None and not machine.resync, machine.logical_sha256(), [a[0] for a in machine.audits[seen:]]))
+                book, bid, ask = machine.book or {"bid": {}, "ask": {}}, machine.best("bid"), machine.best("ask")
+                out.append((key[0], key[1], r.receive_time_utc_ns, result, machine.update_id, None if bid is None else plain(bid), None if ask is None else plain(ask), len(book["bid"]), len(book["ask"]), machine.complete and machine.book is not None and not machine.resync, machine.logical_sha256() if hashes else None, [a[0] for a in machine.audits[seen:]]))
                 del machine.audits[: max(0, len(machine.audits) - 1)]
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in OUT.split(", ")])
 

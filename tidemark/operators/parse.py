@@ -346,7 +346,9 @@ def sequence_json(sequence: Column) -> Column:
 def parse(envelopes: DataFrame, streams: list[tuple[str, str]] | None = None) -> DataFrame:
     """Candidates of several streams (all supported ones by default) under one wide schema.
 
-    With `streams` unset, an envelope of an unsupported stream is an error, which a small aggregate finds first.
+    Each stream filters the envelopes, so keep them partitioned by market and stream: then a file is read for its own
+    stream alone. Raw chunks have one stream each; for them use sources.tables.read_candidates.
+    With `streams` unset, an envelope of an unsupported stream is an error, which one row's lookup finds first.
     """
     wanted = streams or supported()
     if streams is None:

@@ -52,6 +52,31 @@ def read_build(spark: SparkSession, paths: list[str], market: str, stream: str)
     return spark.read.schema(type(schema)(inside + [schema[c] for c in partition_columns()])).option("basePath", base).parquet(*paths)
 
 
+def read_candidates(spark: SparkSession, chunks: DataFrame) -> DataFrame:
+    """Parsed rows of resolved chunks (see resolve_sources), each chunk read once, by the parser of its own stream.
+
+    The list of chunks is metadata, a row for each file, and comes to the driver as any file listing does; what it
+    says about each joins its records by chunk.
+    """
+    from functools import reduce
+
+    from ..operators.parse import parse_stream
+    from .rawchunk import read_chunks
+
+    listed: dict[tuple[str, str], list[str]] = {}
+    for row in chunks.select("market", "stream", "path").orderBy("market", "stream", "path").toLocalIterator():
+        listed.setdefault((row.market, row.stream), []).append(row.path)
+    none = F.array().cast("array<string>")
+    about = chunks.select(
+        F.col("chunk_id").alias("source_chunk_id"), F.col("uncompressed_sha256").alias("source_chunk_sha256"), F.col("complete").alias("source_complete"), F.col("gap").alias("source_gap"),
+        F.coalesce("resync", F.lit(False)).alias("source_resync"), F.coalesce("recovered", F.lit(False)).alias("source_recovered"), F.coalesce("capture_flags", none).alias("source_capture_flags"),
+    )
+    parts = [parse_stream(read_chunks(spark, paths).drop("path").join(about, "source_chunk_id"), market, stream) for (market, stream), paths in listed.items()]
+    if not parts:
+        raise IncompleteSource("no chunks")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def verify_rows(build: DataFrame, expected: int) -> None:
     found = build.count()
     if found != expected:

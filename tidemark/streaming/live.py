@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.book import Machine
+from ..operators.book import Machine, plain
 
 
 def timed(events: DataFrame, at: str = "ts") -> DataFrame:
@@ -62,8 +62,8 @@ def live_book(events: DataFrame) -> DataFrame:
                     result = machine.snapshot(int(r.final), bids, asks, int(r.receive_time_utc_ns))
                 else:
                     result = machine.offer({"first": int(r.first), "final": int(r.final), "previous": None if pd.isna(r.previous) else int(r.previous), "bids": bids, "asks": asks, "at": int(r.receive_time_utc_ns)})
-                doc = machine.document()
-                out.append((*key, machine.update_id, result, doc["bids"][0][0] if doc["bids"] else None, doc["asks"][0][0] if doc["asks"] else None, machine.book is not None and machine.complete and not machine.resync))
+                bid, ask = machine.best("bid"), machine.best("ask")
+                out.append((*key, machine.update_id, result, None if bid is None else plain(bid), None if ask is None else plain(ask), machine.book is not None and machine.complete and not machine.resync))
         machine.audits = []
         state.update((machine.checkpoint() if machine.book is not None else "", json.dumps(machine.buffer)))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in BOOK_OUT.split(", ")])
