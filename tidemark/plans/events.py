@@ -86,7 +86,7 @@ def replay_receive_order(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("event_type").orderBy("receive_ns", "user_id", "event_id")
-    return frames(spark, sf_dir).select("event_id", "event_type", "receive_ns", F.row_number().over(w).alias("place"))
+    return frames(spark, sf_dir).select("event_id", "event_type", "receive_ns", F.row_number().over(w).cast("bigint").alias("place"))
 
 
 def replay_exchange_fallback(spark, sf_dir):
