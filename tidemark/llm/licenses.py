@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import let
+from .quality import let, running
 
 # Labels, names (regular expressions over lower-case words) and keywords of license families.
 FAMILIES = """
@@ -112,26 +112,49 @@ def signature_rules() -> list[dict]:
     return [{"priority": p, "confidence": c, "label": label, "keyword": keyword, "pattern": f"(?<= ){phrase.format(name)}(?= )"} for label, name, keyword in rows for p, c, phrase in PHRASES]
 
 
+HIT = "array<struct<start:int,priority:int,shorter:int,stop:int,label:string,confidence:double>>"
+#: Detections on each side, in order of place, among which one that contains another is looked for first.
+BESIDE = 128
+
+
 def spans(norm: Column, rule: Column) -> Column:
     """Detections of one rule: what lies between its matches tells where they are."""
     between = F.transform(F.split(norm, rule["pattern"]), F.length)
     found = F.transform(F.regexp_extract_all(norm, rule["pattern"], F.lit(0)), F.length)
 
     def placed(b: Column, m: Column) -> Column:
-        before = lambda a, i: F.aggregate(F.slice(a, 1, i), F.lit(0), lambda x, y: x + y)
-        return F.transform(m, lambda size, i: F.struct(
-            rule["priority"].alias("priority"), (-size).alias("shorter"), (before(b, i + 1) + before(m, i)).alias("start"), (before(b, i + 1) + before(m, i + 1)).alias("stop"),
-            rule["label"].alias("label"), rule["confidence"].alias("confidence")))
+        steps = F.zip_with(F.slice(b, F.lit(1), F.size(m)), m, lambda x, y: x + y)
+
+        def one(starts: Column) -> Column:
+            at = lambda i: F.get(starts, i) + F.get(b, i)
+            return F.transform(m, lambda size, i: F.struct(at(i).alias("start"), rule["priority"].alias("priority"), (-size).alias("shorter"), (at(i) + size).alias("stop"), rule["label"].alias("label"), rule["confidence"].alias("confidence")))
 
-    return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast("array<struct<priority:int,shorter:int,start:int,stop:int,label:string,confidence:double>>")).otherwise(let(between, lambda b: placed(b, m))))
+        return let(running(steps), one)
+
+    return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast(HIT)).otherwise(let(between, lambda b: placed(b, m))))
 
 
 def detections(norm: Column) -> Column:
-    """What is left of all rules' detections in words with single spaces between and around."""
+    """What is left of all rules' detections in words with single spaces between and around, in order of place.
+
+    Whatever contains a detection starts no further before it than the longest one is long. In order of place that is
+    among its neighbours, unless there are more than BESIDE of those; then all are looked at.
+    """
     rules = F.from_json(F.lit(json.dumps(signature_rules())), RULE)
     hits = F.array_sort(F.flatten(F.transform(F.filter(rules, lambda r: norm.contains(r["keyword"])), lambda r: spans(norm, r))))
-    inside = lambda b, a: (a["start"] <= b["start"]) & (b["stop"] <= a["stop"])
-    return let(hits, lambda h: F.filter(h, lambda b, i: ~F.exists(F.slice(h, 1, i), lambda a: inside(b, a))))
+    order = lambda x: F.struct(x["priority"], x["shorter"], x["start"], x["label"])
+    over = lambda a, b: (a["start"] <= b["start"]) & (b["stop"] <= a["stop"]) & (order(a) < order(b))
+
+    def left(h: Column, longest: Column) -> Column:
+        def stays(b: Column, i: Column) -> Column:
+            low = F.greatest(i - BESIDE, F.lit(0))
+            near = F.slice(h, low + 1, F.lit(2 * BESIDE + 1))
+            enough = ((low == 0) | (F.get(h, low)["start"] < b["start"] - longest)) & ((i + BESIDE >= F.size(h)) | (F.get(h, i + BESIDE)["start"] > b["start"]))
+            return ~F.when(enough, F.exists(near, lambda a: over(a, b))).otherwise(F.exists(h, lambda a: over(a, b)))
+
+        return F.filter(h, stays)
+
+    return let(hits, lambda h: let(-F.coalesce(F.array_min(F.transform(h, lambda x: x["shorter"])), F.lit(0)), lambda longest: left(h, longest)))
 
 
 def base_places(words: Column) -> Column:
@@ -165,7 +188,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     second = first.select("doc_id", F.col("w.n_words").alias("n_words"), norm.alias("norm"))
     close = let(F.col("norm"), lambda x: F.struct(let(F.split(F.trim(x), " "), base_places).alias("base"), detections(x).alias("detections")))
     found = second.select("doc_id", "n_words", F.when(F.col("norm").isNotNull(), close).alias("f"))
-    return found.select("doc_id", "n_words", F.coalesce("f.base", F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"), F.coalesce("f.detections", F.array().cast("array<struct<priority:int,shorter:int,start:int,stop:int,label:string,confidence:double>>")).alias("detections"))
+    return found.select("doc_id", "n_words", F.coalesce("f.base", F.array().cast("array<struct<start:bigint,label:string>>")).alias("base"), F.coalesce("f.detections", F.array().cast(HIT)).alias("detections"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -32,6 +32,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(sizes: Column, block: int = 256) -> Column:
+    """Of an array of integers, the sum of those before each. Expressions have no running sum; adding up inside blocks,
+    and the blocks before, keeps the work far from the square of the size."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    block_of = lambda i: F.call_function("div", i, F.lit(block)).cast("int")
+
+    def whole(a: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), block_of(F.size(a))), lambda c: total(F.slice(a, c * block + 1, F.lit(block))))
+        before = lambda s: F.transform(s, lambda x, c: total(F.slice(s, F.lit(1), c)))
+        return let(let(sums, before), lambda b: F.transform(a, lambda x, i: F.get(b, block_of(i)) + total(F.slice(a, block_of(i) * block + 1, i - block_of(i) * block))))
+
+    return let(sizes, whole)
+
+
 def count_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
