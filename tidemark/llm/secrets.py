@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality import let
+from .quality import let, running
 
 NAMES = r"(?i:passwords?|passwd|pwd|secrets?|secret[_-]?key|tokens?|api[_-]?key|access[_-]?key|auth|credentials?)"
 ASSIGN = NAMES + r"[\"']? ?[:=] ?[\"']?"
@@ -44,7 +44,7 @@ TREES, DEPTH, LEAF, SEED, THRESHOLD = 25, 7, 3, 11, 0.5
 DICTIONARY = "the and ing ion tion ent for with this that have from not are was user name pass word test example sample your here key token secret change insert dummy fake none null admin root hello foo bar baz demo data file path home local lib src main class value config default public private version build release node module package http https www com org net index image style script page post get set list item type text time date code line note todo xxx abc qwerty"
 # End of fixed values.
 FEATURES = ("size", "changes", "digits", "uppers", "distinct", "dictionary", "test_path", "secret_words", "plain_words", "assigned", "known", "hexadecimal")
-CANDIDATE_TYPE = "array<struct<kind:string,value:string,start:int,stop:int,before:string,after:string>>"
+CANDIDATE_TYPE = "array<struct<kind:string,value:string,start:int,stop:int,before:string,after:string,text_before:string>>"
 
 
 def share(value: Column, pattern: str) -> Column:
@@ -63,15 +63,15 @@ def candidates(text: Column) -> Column:
         return out.otherwise(F.lit("generic"))
 
     def placed(m: Column, between: Column) -> Column:
-        upto = lambda a, i: F.aggregate(F.slice(a, 1, i), F.lit(0), lambda n, x: n + F.length(x))
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(m)), m, lambda x, y: F.length(x) + F.length(y))
 
-        def one(x: Column, i: Column) -> Column:
+        def one(x: Column, i: Column, starts: Column) -> Column:
             value = F.regexp_replace(x, f"^{ASSIGN}(?=[^\\s\"',;]{{8,}}$)", "")
-            start = upto(between, i + 1) + upto(m, i + 1) - F.length(value)
-            before = F.concat(F.right(F.get(between, i), F.lit(BEFORE)), F.left(x, F.length(x) - F.length(value)))
-            return F.struct(kind_of(x).alias("kind"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("stop"), before.alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after"))
+            gap, lead = F.get(between, i), F.left(x, F.length(x) - F.length(value))
+            start = F.get(starts, i) + F.length(gap) + F.length(lead)
+            return F.struct(kind_of(x).alias("kind"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("stop"), F.concat(F.right(gap, F.lit(BEFORE)), lead).alias("before"), F.left(F.get(between, i + 1), F.lit(AFTER)).alias("after"), F.concat(gap, lead).alias("text_before"))
 
-        return F.transform(m, one)
+        return let(running(steps), lambda starts: F.transform(m, lambda x, i: one(x, i, starts)))
 
     none = F.array().cast(CANDIDATE_TYPE)
     found = let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, CANDIDATE), lambda b: placed(m, b))))
@@ -216,8 +216,8 @@ def vote(trees, f: Column) -> Column:
 
 
 def judged(text: Column, path: Column, trees) -> Column:
-    """Array of (kind, start, stop, score, secret) for a text's candidates."""
-    one = lambda c: let(features(c, path), lambda f: let(vote(trees, f), lambda s: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), s.alias("score"), (s >= THRESHOLD).alias("secret"))))
+    """Array of (kind, start, stop, score, secret, value, text_before) for a text's candidates; text_before is what lies between a value and the candidate before it."""
+    one = lambda c: let(features(c, path), lambda f: let(vote(trees, f), lambda s: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), s.alias("score"), (s >= THRESHOLD).alias("secret"), c["value"].alias("value"), c["text_before"].alias("text_before"))))
     return F.transform(candidates(text), one)
 
 
@@ -229,7 +229,7 @@ def scan(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame
     """
     trees = forest(docs.sparkSession)
     own = docs.select("doc_id", judged(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{path}`"), trees).alias("found"))
-    return own.select("doc_id", F.inline("found"))
+    return own.select("doc_id", F.inline("found")).drop("value", "text_before")
 
 
 def redact(docs: DataFrame, text: str = "text", path: str = "source") -> DataFrame:
@@ -238,12 +238,9 @@ def redact(docs: DataFrame, text: str = "text", path: str = "source") -> DataFra
     t = F.col(f"`{text}`")
 
     def cut(found: Column) -> Column:
-        bad = F.filter(found, lambda c: c["secret"])
-        def rest(b: Column) -> Column:
-            kept = F.transform(b, lambda c, i: F.substring(t, F.coalesce(F.get(b, i - 1)["stop"], F.lit(0)) + 1, c["start"] - F.coalesce(F.get(b, i - 1)["stop"], F.lit(0))))
-            last = F.substring(t, F.element_at(b, -1)["stop"] + 1, F.length(t))
-            return F.when(F.size(b) == 0, t).otherwise(F.concat(F.array_join(kept, REDACTED), F.lit(REDACTED), last))
-        return let(bad, rest)
+        kept = F.transform(found, lambda c: F.concat(c["text_before"], F.when(c["secret"], REDACTED).otherwise(c["value"])))
+        rest = F.element_at(F.split(t, CANDIDATE), -1)
+        return F.when(F.exists(found, lambda c: c["secret"]), F.concat(F.array_join(kept, ""), rest)).otherwise(t)
 
     clean = F.when(t.isNull(), t).otherwise(let(judged(t, F.col(f"`{path}`"), trees), cut))
     return docs.select(*(clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
