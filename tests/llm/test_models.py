@@ -235,3 +235,36 @@ def test_blocks_of_items_change_nothing(spark, docs_of, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 6)
     assert sorted(map(tuple, decontaminate.leaks(docs_of(texts), bench).collect())) == whole == [(0, 1, 0, 8, 0), (1, 2, 0, 9, 0)]
     assert [r.doc_id for r in decontaminate.drop_leaking(docs_of(texts), bench).collect()] == [2]
+
+
+@pytest.mark.parametrize("size", [5, 11, 39, 100, 300, 600])
+@pytest.mark.parametrize("share", [0.2, 0.5, 1.0])
+def test_no_copy_within_the_limit_is_missed(size, share):
+    """Edits at the limit, all of them in the first part of an item, in documents that begin and end with it or don't."""
+    rng = np.random.default_rng(size)
+    items = {n: rng.integers(0, 3000, size).tolist() for n in range(20)}
+    found = decontaminate.Items([(n, " ".join(map(str, w))) for n, w in items.items()])
+    texts = []
+    for n, w in items.items():
+        copy = list(w)
+        for p in rng.choice(max(decontaminate.allowed(size), int(share * size)), decontaminate.allowed(size), replace=False).tolist():
+            copy[p] = 5000 + p
+        if n % 3 == 1:  # one of the edits is a word left out
+            copy.remove(next(x for x in copy if x >= 5000))
+        around = [rng.integers(0, 3000, int(rng.integers(0, 30))).tolist() for _ in range(2)]
+        texts.append(" ".join(map(str, around[0] + copy + around[1])))
+    got = found.matches(texts)
+    for n, (text, rows) in enumerate(zip(texts, got, strict=True)):
+        mine = {r[0]: r[1:] for r in rows}
+        assert n in mine
+        words, own = text.split(), [str(x) for x in items[n]]
+        start, stop, edits = mine[n]
+        assert edits <= decontaminate.allowed(size) and decontaminate.edit_distance(own, words[start:stop], edits)[0] == edits
+
+
+def test_best_stretch():
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(1, 8))] for _ in range(2))
+        want = min((levenshtein(a, b[s:])[0], s) for s in range(len(b) + 1))
+        assert decontaminate.best_stretch(np.array(a), np.array(b)) == want

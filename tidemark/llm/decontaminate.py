@@ -11,6 +11,10 @@ could start; classes of item sizes set how long a walk is, so a window is as lar
 against. `REPEATS` walks, each with `KEYS` samples, reach the target recall (see `recall()`). Whoever shares a
 key is verified by the exact edit distance.
 
+Walks see an item's first part and miss some copies. Behind them stand pieces, which miss none: an item that allows k
+edits is cut into k + 1 pieces, and whatever is within k edits of it holds one of them word for word, at most
+k places from where it is in the item. Around each such place the exact distance of every stretch is worked out.
+
 Before the walk, windows are dropped that cannot match by the q-gram lemma: a stretch within k edits of an
 item of w words shares at least w - 1 - 2k of its word pairs. That bound is exact, so it loses nothing.
 
@@ -72,6 +76,31 @@ def edit_distance(a: list, b: list, most: int) -> tuple[int, int]:
     return row[best], best
 
 
+def best_stretch(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
+    """The least edits between the item and any stretch of words, and the first place where such a stretch starts."""
+    unit = len(words) + 1  # a cell is edits * unit + start
+    row = np.arange(unit, dtype=np.int64)
+    steps = row * unit
+    for x in item:
+        new = row + unit
+        np.minimum(new[1:], row[:-1] + np.where(words == x, 0, unit), out=new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    return divmod(int(row.min()), unit)
+
+
+def pieces(size: int) -> list[tuple[int, int]]:
+    """(start, stop) of the pieces of an item of so many words: one more than its edits."""
+    n = allowed(size) + 1
+    return [(size * k // n, size * (k + 1) // n) for k in range(n)]
+
+
+def piece_codes(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(len(starts), size, np.uint64)
+    for k in range(size):
+        out = mix(out ^ ids[starts + k].astype(np.uint64), 131)
+    return out
+
+
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit finalizer, for random bits and keys that all workers share."""
     with np.errstate(over="ignore"):
@@ -141,6 +170,16 @@ class Items:
                     for k, key in zip(own, keys[:, n].tolist(), strict=True):
                         table.setdefault(key, []).append(k)
         self.known = {key: np.sort(np.array(list(t), np.uint64)) for key, t in self.tables.items()}
+        self.pieces: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # (class, words of a piece) -> codes in order, items, offsets
+        for size, own in members.items():
+            found: dict[int, list[tuple[int, int, int]]] = {}
+            for k in own:
+                for a, b in pieces(len(self.words[k])):
+                    found.setdefault(b - a, []).append((int(piece_codes(self.words[k], np.array([a]), b - a)[0]), k, a))
+            for n, rows in found.items():
+                rows.sort()
+                self.pieces[size, n] = (np.array([r[0] for r in rows], np.uint64), *(np.array([r[c] for r in rows], np.int64) for c in (1, 2)))
+        self.allowed = np.array([allowed(len(w)) for w in self.words], np.int64)
 
     @staticmethod
     def mark(pairs: np.ndarray) -> np.ndarray:
@@ -169,12 +208,50 @@ class Items:
             ok |= span(at, w) >= least(w)
         return at[ok]
 
+    def aligned(self, ids: np.ndarray, ends: np.ndarray, hits: np.ndarray, size: int, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to): parts of documents that hold every stretch within an allowed distance of an item of the class, by its pieces."""
+        if not len(starts):
+            return
+        places: list[tuple[np.ndarray, ...]] = []
+        for (of, n), (codes, items, offsets) in self.pieces.items():
+            if of != size or len(ids) < n:
+                continue
+            at = np.arange(len(ids) - n + 1)
+            at = at[(hits[at + n - 1] - hits[at] == n - 1) & (at + n <= ends[at]) & (ids[at] >= 0)]
+            code = piece_codes(ids, at, n)
+            low, high = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+            times = high - low
+            at, which = np.repeat(at, times), np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+            item, around = items[which], at - offsets[which]
+            begin, most = np.searchsorted(ends, ends[at], "left"), self.allowed[item]
+            near = np.searchsorted(starts, np.maximum(around - most, begin))
+            near = (near < len(starts)) & (starts[near.clip(0, len(starts) - 1)] <= np.minimum(around + most, ends[at] - 1))
+            places.append((item[near], begin[near], around[near]))
+        if not places:
+            return
+        item, begin, around = (np.concatenate([p[c] for p in places]) for c in range(3))
+        order = np.lexsort((around, begin, item))
+        last: tuple[int, int, int, int] | None = None
+        for k, first, a in zip(item[order].tolist(), begin[order].tolist(), around[order].tolist(), strict=True):
+            most, end = int(self.allowed[k]), int(ends[first])
+            low, high = max(first, a - most), min(end, a + len(self.lists[k]) + 2 * most)
+            if last and last[:2] == (k, first) and low <= last[3]:
+                last = (k, first, last[2], high)
+                continue
+            if last:
+                yield last[0], last[2], last[3]
+            last = (k, first, low, high)
+        if last:
+            yield last[0], last[2], last[3]
+
     def find(self, ids: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item's place, start, stop, edits) of whatever matches in word ids (-1: in no item) of documents that end at `ends`."""
         votes: dict[tuple[int, int], int] = {}
         hits = self.shared_pairs(ids)
+        parts: list[tuple[int, int, int]] = []
         for size in self.sizes:
             starts = self.starts(hits, ends, size)
+            parts += self.aligned(ids, ends, hits, size, starts)
             for at in range(0, len(starts), 20_000):
                 part = starts[at : at + 20_000]
                 for repeat in range(REPEATS):
@@ -194,6 +271,12 @@ class Items:
             edits, length = edit_distance(item, ids[start : min(end, start + len(item) + old[0])].tolist(), old[0])
             if edits <= old[0]:
                 best[k, end] = min(old, (edits, start, start + length))
+        for k, low, high in parts:
+            edits, start = best_stretch(self.words[k], ids[low:high])
+            key = k, int(ends[low])
+            if (edits, low + start) < best.get(key, (int(self.allowed[k]) + 1, 0, 0))[:2]:
+                _, length = edit_distance(self.lists[k], ids[low + start : min(key[1], low + start + len(self.lists[k]) + edits)].tolist(), edits)
+                best[key] = (edits, low + start, low + start + length)
         return [(k, a, b, e) for (k, _), (e, a, b) in best.items()]
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
