@@ -114,3 +114,25 @@ def test_signature_rules(docs_of):
     assert len(licenses.signature_rules()) > 200
     inside = licenses.scan(docs_of(texts[:1])).first().detections
     assert len(inside) == 1  # shorter detections inside it are suppressed
+
+
+def test_no_gate_loses_a_rule(docs_of, monkeypatch):
+    """A text of every phrase around a name of every family has the same detections with and without gate and keywords."""
+    names = {}
+    for line in licenses.FAMILIES.strip().splitlines():
+        label, pattern, _ = (x.strip() for x in line.split(" | "))
+        options = [pattern] if not pattern.startswith("(?:") else pattern[3:].split(")")[0].split("|")
+        for o in options:
+            plain = re.sub(r"\(\?:[^()]*\)\??|\[.*?\]|\\w\*|\?", "", o)
+            names.setdefault(label, []).append(" ".join(plain.replace(")", "").split()))
+    ways = [f"{verb} {to} the {{}} here" for verb in ("released", "Distributed", "available", "provided", "published") for to in ("in", "under", "into")]
+    ways += ["SPDX-License-Identifier: {} x", "licensed under {} x", "subject to {} licence x", "the {} license x", "license is {} x"]
+    texts = [w.format(n) for own in names.values() for n in own for w in ways]
+    texts += ["Released under GPL v3", "distributed under CC BY-SA 4.0", "available under the Apache 2.0", "released into the public domain", "published under CC0", "released under expat"]
+    rows = lambda: [tuple(r) for r in licenses.summary(licenses.scan(docs_of(texts))).orderBy("doc_id").collect()]
+    got = rows()
+    assert [r[6] for r in got[-6:]] == ["gpl-3", "cc-by-sa", "apache-2", "public-domain", "cc0", "mit"] and all(r[7] > 0 for r in got[-6:])
+    ungated = [r | {"keyword": ""} for r in licenses.signature_rules()]
+    monkeypatch.setattr(licenses, "TRIGGERS", ("",))
+    monkeypatch.setattr(licenses, "signature_rules", lambda: ungated)
+    assert rows() == got

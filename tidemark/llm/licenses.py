@@ -17,7 +17,7 @@ from .quality import let, running
 
 # Labels, names (regular expressions over lower-case words) and keywords of license families.
 FAMILIES = """
-mit | (?:mit|expat) | mit
+mit | (?:mit|expat) | t
 mit-0 | mit (?:0|no attribution) | mit
 x11 | x11 | x11
 apache-2 | apache(?: software)?(?: license)? (?:version )?v?2(?: 0)? | apache
@@ -97,8 +97,8 @@ PHRASES = [
     (4, 0.8, "{}(?: public)? licen[sc]e"),
     (5, 0.6, "licen[sc]e(?:d)?(?: is)? {}"),
 ]
-#: A document without any of these has no detection.
-TRIGGERS = ("licen", "spdx", "cc by nc")
+#: A document without any of these has no detection: the phrase of priority 2 needs no more than one of its openings.
+TRIGGERS = ("licen", "spdx", "cc by nc", *(f"{verb} {to} " for verb in ("released", "distributed", "available", "provided", "published") for to in ("in", "under", "into")))
 #: Phrases that are always looked for, and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
