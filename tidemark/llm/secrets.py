@@ -24,7 +24,7 @@ NAMES = r"(?i:passwords?|passwd|pwd|secrets?|secret[_-]?key|tokens?|api[_-]?key|
 ASSIGN = NAMES + r"[\"']? ?[:=] ?[\"']?"
 #: Shapes in order; the first that matches at a place is taken.
 KINDS = {
-    "private-key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{1,20000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
+    "private-key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,30}PRIVATE KEY-----)?",
     "access-key-id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "hosting-token": r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{20,})",
     "payment-key": r"(?<![A-Za-z0-9])[rs]k_(?:live|test)_[A-Za-z0-9]{16,}",
@@ -35,7 +35,7 @@ KINDS = {
 }
 CANDIDATE = "|".join(KINDS.values())
 #: Texts without any of these have no candidate.
-GATE = "[0-9=:]|PRIVATE KEY"
+GATE = "[0-9=:]|PRIVATE KEY|A[KS]IA|gh[pousr]_|glpat-|[rs]k_(?:live|test)_|xox[abprs]-|eyJ"
 BEFORE, AFTER = 48, 24
 REDACTED = "[SECRET]"
 TREES, DEPTH, LEAF, SEED, THRESHOLD = 25, 7, 3, 11, 0.5
