@@ -189,9 +189,10 @@ def test_banded_distance():
         assert got == (value, end) if value <= most else got[0] > most
 
 
-@pytest.mark.parametrize("size, edits", [(8, 1), (15, 3), (24, 4), (40, 8), (55, 11)])
-def test_recall_target(size, edits):
-    assert decontaminate.recall(size, edits, 200) >= 0.9
+@pytest.mark.parametrize("layout", ["random", "first", "apart"])
+@pytest.mark.parametrize("size", [1, 4, 5, 8, 15, 24, 55, 110, 200, 500])
+def test_recall_target(size, layout):
+    assert decontaminate.recall(size, decontaminate.allowed(size), 40 if size > 100 else 100, layout=layout) >= 0.9
 
 
 def brute_leaks(texts, items):
@@ -201,7 +202,7 @@ def brute_leaks(texts, items):
         for item, text in items.items():
             w = decontaminate.words_of(text)
             most = decontaminate.allowed(len(w))
-            if len(w) >= decontaminate.LEAST and any(levenshtein(w, words[i : i + len(w) + most])[0] <= most for i in range(len(words)) if set(w) & set(words[i : i + 3 * most + 3])):
+            if w and any(levenshtein(w, words[i : i + len(w) + most])[0] <= most for i in range(len(words)) if set(w) & set(words[i : i + 3 * most + 3])):
                 out.add((d, item))
     return out
 
@@ -209,13 +210,14 @@ def brute_leaks(texts, items):
 def test_leaks_against_brute_force(spark, docs_of, odd):
     rng = random.Random(3)
     noise = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 3))) for _ in range(n))
-    items = {n: noise(rng.randint(12, 40)) for n in range(12)} | {50: "too short", 51: None, 52: ""}
+    items = {n: noise(rng.randint(12, 40)) for n in range(12)} | {50: "short one", 51: None, 52: "", 53: "lonely", 54: "!!"}
     texts = list(odd)
     for n in range(12):
         w = items[n].split()
         for _ in range(n % 3):
             w[rng.randrange(len(w))] = "zzz"
         texts.append(f"{noise(30)} {'; '.join(w).upper()} {noise(20)}")
+    texts += ["a SHORT, one", "one short", "quite lonely here", "lonely", "short", "xshort one"]
     docs = docs_of(texts)
     bench = spark.createDataFrame([(k, v) for k, v in items.items()] + [(99, items[0])], "item_id long, text string")
     rows = decontaminate.leaks(docs.withColumn("edits", F.lit("clash")), bench).collect()
