@@ -32,6 +32,24 @@ def test_any_text(library, codecs, text):
     assert codecs[0].decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+PART = st.sampled_from([*"abDE'stremvdl \n\t.,!019ÀàéÉßñ×÷ÿŠİΣς²½Ⅷ中😀", "'s", "'RE", "'ll", "n't", "\x1c", "\x85", "\u00a0", "\u0301", "<|endoftext|>"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.lists(PART, max_size=40).map("".join)), max_size=6))
+def test_texts_together(library, codecs, texts):
+    """All texts of a batch at once, in parts so small that words are cut off at their ends."""
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    whole = bpe.AT_ONCE
+    try:
+        for bpe.AT_ONCE in (7, whole):
+            for codec in codecs:
+                flat, counts = codec.encode_all(texts)
+                assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    finally:
+        bpe.AT_ONCE = whole
+
+
 @pytest.mark.parametrize("text", ["", "it's we'LL they've", "<|endoftext|>a<|startoftext|> <|end", "a\x1cb\x85c d e​f", "½²³ 123 ٣", "ΑΣ ΣΑΣ İK", "é ́x 각", "日本語 ###$$$", "ß" * 300])
 def test_odd_texts(library, codecs, text):
     for codec in codecs:
@@ -95,5 +113,5 @@ def test_runs_start_words():
         end = runs[k + 1] if k < 3 else len(words)
         own = ids[k * simple8b.RUN : (k + 1) * simple8b.RUN]
         assert (simple8b.unpack(words[runs[k] : end], runs[:1], len(own)) == own).all()
-    doc_ids, lengths, back = simple8b.parse(simple8b.chunk([1, None, -3], [b"", ids[:2].astype("<u4").tobytes(), b"\x01\x00\x00\x00"])[1])
+    doc_ids, lengths, back = simple8b.parse(simple8b.chunk([1, None, -3], np.array([0, 2, 1]), np.r_[ids[:2], 1].astype("<u4")))
     assert (doc_ids, lengths.tolist(), back.tolist()) == ([1, None, -3], [0, 2, 1], [0, 1, 1])

@@ -37,6 +37,8 @@ TAKES = np.array([many for many, _ in WIDTHS] + [0, 1])
 #: Ids after which a chunk is closed.
 CHUNK = 1 << 18
 NULL_ID = 1 << 31
+#: Bytes of a stored table that make a shard.
+SHARD_BYTES = 64 << 20
 
 
 def selectors(bits: np.ndarray) -> np.ndarray:
@@ -120,13 +122,20 @@ def unpack(words: np.ndarray, runs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def chunk(doc_ids: list, ids: list[bytes]) -> tuple[int, bytes]:
-    """Count of ids, and the payload of documents whose ids are little-endian 32-bit integers."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def chunk(doc_ids: list, counts: np.ndarray, flat: np.ndarray) -> bytes:
+    """The payload of documents with so many ids each, of which flat has all."""
     words, runs = pack(flat)
-    lengths = np.array([len(b) // 4 | (NULL_ID if d is None else 0) for d, b in zip(doc_ids, ids, strict=True)], "<u4")
+    lengths = counts.astype("<u4") | np.array([NULL_ID if d is None else 0 for d in doc_ids], "<u4")
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return len(flat), b"".join([HEAD.pack(MAGIC, len(ids), len(runs), len(words), len(flat)), known.tobytes(), lengths.tobytes(), runs.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+    return b"".join([HEAD.pack(MAGIC, len(doc_ids), len(runs), len(words), len(flat)), known.tobytes(), lengths.tobytes(), runs.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
+
+
+def cuts(counts: np.ndarray, most: int) -> list[int]:
+    """Where chunks end: after the first documents that together have `most` ids, and so on; after the last one."""
+    upto, out, before = np.cumsum(counts), [], 0
+    while before < len(counts) and (at := int(np.searchsorted(upto, (upto[before - 1] if before else 0) + most, "left"))) < len(counts) - 1:
+        out.append(before := at + 1)
+    return [*out, len(counts)] if len(counts) else []
 
 
 def parse(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -159,41 +168,50 @@ class LibraryCodec(Codec):
 _codecs: dict[int, LibraryCodec] = {}
 
 
+def shards_of(docs: DataFrame) -> int:
+    """Shards, by the size that the table is known to have, so that none grows with the corpus; at least the session's partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, -(-size // SHARD_BYTES)) if size < 1 << 60 else own  # sizes that nobody knows are told as huge
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = 2, shards: int | None = None) -> None:
     """Encodes each whole text (null: empty), appends `end`, and writes token files to path.
 
     Documents are in ascending order of doc_id (null first; rows that repeat a doc_id, in order of text).
     """
     spark = docs.sparkSession
+    scratch.long_rows(spark)
     spec = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
-    mark = np.array([end], "<u4").tobytes()
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or shards_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (key := hash(spec.value)) not in _codecs:
             _codecs[key] = LibraryCodec(spec.value)
         codec, shard = _codecs[key], TaskContext.get().partitionId()
-        number = before = size = 0
-        doc_ids: list = []
-        waiting: list[bytes] = []
-
-        def close() -> pa.RecordBatch:
-            nonlocal number, before, size, doc_ids, waiting
-            count, payload = chunk(doc_ids, waiting)
-            row = [shard, number, before, count, payload]
-            number, before, size, doc_ids, waiting = number + 1, before + count, 0, [], []
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "ids_before", "n_ids", "payload"])
+        number = before = 0
+        doc_ids, counts, ids = [], np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+        def closed(last: bool) -> Iterator[pa.RecordBatch]:
+            """Full chunks; the rest waits for more, unless there is none."""
+            nonlocal number, before, doc_ids, counts, ids
+            done = 0
+            for stop in cuts(counts, CHUNK):
+                size = int(counts[done:stop].sum())
+                if not last and size < CHUNK:
+                    break
+                row = [shard, number, before, size, chunk(doc_ids[done:stop], counts[done:stop], ids[:size])]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "chunk", "ids_before", "n_ids", "payload"])
+                number, before, done, ids = number + 1, before + size, stop, ids[size:]
+            doc_ids, counts = doc_ids[done:], counts[done:]
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = codec.encode_bytes(text)
-                doc_ids.append(d)
-                waiting.append(ids + mark)
-                size += len(ids) // 4 + 1
-                if size >= CHUNK:
-                    yield close()
-        if doc_ids:
-            yield close()
+            flat, own = codec.encode_all(batch.column(1).to_pylist())
+            doc_ids = doc_ids + batch.column(0).to_pylist()
+            counts = np.r_[counts, own + 1]
+            ids = np.concatenate([ids, np.insert(flat, np.cumsum(own), end)])
+            yield from closed(False)
+        yield from closed(True)
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     ordered.mapInArrow(run, "shard int, chunk int, ids_before long, n_ids long, payload binary").write.option("compression", "uncompressed").parquet(path)
@@ -203,7 +221,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start: ids of all documents before it, n_tokens, ids_crc32, ids) of each document in the files."""
     files = spark.read.schema("shard int, chunk int, ids_before long, n_ids long, payload binary").parquet(path)
     total = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    first = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))  # a row for each shard
+    first = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))  # a row for each shard, and a shard is of a size, so few enough to broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,10 +230,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(lengths)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in pairwise([0, *ends.tolist()])]
-                lists = pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], pa.int32()), pa.array(ids.astype(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64()), lists], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    placed = files.join(first, "shard").select((F.col("shard_start") + F.col("ids_before")).alias("start"), "payload")
+    placed = files.join(F.broadcast(first), "shard").select((F.col("shard_start") + F.col("ids_before")).alias("start"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
