@@ -1,7 +1,8 @@
 """Each stage against its operator's own results, and the whole."""
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, quality, queries, secrets, simhash
+from test_minhash import brute_kept
+from tidemark.llm import decontaminate, quality, queries, secrets
 
 
 def test_stages_keep_what_their_operators_keep(spark, data):
@@ -10,7 +11,7 @@ def test_stages_keep_what_their_operators_keep(spark, data):
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     want = {
         "quality rules": lambda d: ids(quality.judge(d, labels).where("kept")),
-        "near-duplicates": lambda d: ids(simhash.near_duplicates(d).where("doc_id = component_id")),
+        "near-duplicates": lambda d: sorted(rows[i][0] for rows in [[(r.doc_id, r.text) for r in d.collect()]] for i in brute_kept(rows)),
         "decontamination": lambda d: sorted(set(ids(d)) - {r.doc_id for r in decontaminate.leaks(d, bench).collect()}),
         "secrets": ids,
         "token ids": ids,
