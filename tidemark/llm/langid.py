@@ -8,11 +8,11 @@ their mean scores give its language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 UNKNOWN = "und"
 #: Windows that go through the network at once.
 AT_ONCE = 64
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter, as for fit(): signs such as superscripts, fractions and Roman numerals are none.
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(data: bytes) -> np.ndarray:

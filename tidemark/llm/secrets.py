@@ -31,7 +31,7 @@ KINDS = {
     "chat-token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}",
     "web-token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "assigned": ASSIGN + r"[^\s\"',;]{8,}",
-    "generic": r"(?<![A-Za-z0-9])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
+    "generic": r"(?<![A-Za-z0-9])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}={0,2}",
 }
 CANDIDATE = "|".join(KINDS.values())
 #: Texts without any of these have no candidate.
