@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clocks import floor_div
@@ -39,17 +41,19 @@ def degraded_pairs(events: DataFrame, order: list[str]) -> DataFrame:
     return closed_gaps(events, order).where(~identity_valid())
 
 
-def malformed_reason() -> Column:
-    """The first thing that an event lacks; null if nothing."""
-    return F.coalesce(
-        F.when(F.col("market").isNull() | (F.col("market") == ""), "MISSING_MARKET"), F.when(F.col("stream").isNull() | (F.col("stream") == ""), "MISSING_STREAM"),
-        F.when(F.col("gap_id").isNull() | (F.col("gap_id") == ""), "MISSING_GAP_ID"), F.when(F.col("at_ns").isNull(), "MISSING_TIME"),
-        F.when(F.col("connection").isNull(), "MISSING_CONNECTION"), F.when(F.coalesce(F.col("generation") < 0, F.lit(True)), "INVALID_GENERATION"),
-    )
+def malformed_reason(evidence: Column | None = None) -> Column:
+    """The first thing that a gap event lacks; null if nothing. `evidence` is its JSON text, where the events carry it."""
+    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
+    rules = [(empty("market"), "missing_market"), (empty("stream"), "missing_stream"), (empty("gap_id"), "missing_gap_id")]
+    if evidence is not None:
+        value = F.try_parse_json(evidence)
+        rules = [(value.isNull(), "evidence_not_json"), (~F.schema_of_variant(value).startswith("OBJECT"), "evidence_not_object"), *rules]
+    return F.coalesce(*(F.when(bad, name) for bad, name in rules))
 
 
-def malformed_events(events: DataFrame) -> DataFrame:
-    return events.withColumn("reason", malformed_reason()).where("reason is not null")
+def malformed_events(events: DataFrame, evidence: str | None = None) -> DataFrame:
+    """Gap events whose identity can't be told, with the reason. Times, connections and generations that lack are another matter: see identity_valid()."""
+    return events.withColumn("reason", malformed_reason(None if evidence is None else F.col(evidence))).where("reason is not null")
 
 
 def lifecycle(events: DataFrame, by: list[str], started: Column, completed: Column) -> DataFrame:
@@ -64,43 +68,118 @@ def intervals(events: DataFrame, order: list[str]) -> DataFrame:
     return s.join(e, KEY, "left").select(*KEY, F.col("s.at_ns").alias("started_at_ns"), F.col("e.at_ns").alias("ended_at_ns"), F.col("s.connection").alias("original_connection"), F.col("e.connection").alias("new_connection"))
 
 
+def covering(points: DataFrame, spans: DataFrame, by: list[str], bin_ns: int) -> DataFrame:
+    """points(by..., id, at_ns) with n_time, how many spans(by..., gap_id, started_at_ns, ended_at_ns or null) hold each, and, of
+    one alone, its `code`. Starts, points and ends go through one running sum of counts, and one exclusive or of
+    hashes, which is the hash itself where one is left. Both run inside time bins; what is open at a bin's start is carried
+    into it, so no task sees more than a bin of a stream, and no pair is made."""
+    code = F.xxhash64(*by, "gap_id")
+    step = lambda at, side, sign: [*by, F.col(at).alias("at_ns"), F.lit(side).alias("side"), F.lit(None).cast("bigint").alias("id"), F.lit(sign).alias("n"), code.alias("code")]
+    right = spans.where("started_at_ns is not null and (ended_at_ns is null or ended_at_ns >= started_at_ns)")
+    steps = right.select(*step("started_at_ns", 0, 1)).unionByName(right.where("ended_at_ns is not null").select(*step("ended_at_ns", 2, -1)))
+    asked = points.select(*by, "at_ns", F.lit(1).alias("side"), F.col("id").cast("bigint").alias("id"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("code"))
+    rows = steps.unionByName(asked).withColumn("bin", floor_div(F.col("at_ns"), bin_ns))
+    earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bin
+    before = rows.groupBy(*by, "bin").agg(F.sum("n").alias("n"), F.bit_xor("code").alias("code")).select(*by, "bin", F.sum("n").over(earlier).alias("n_before"), F.bit_xor("code").over(earlier).alias("code_before"))
+    inside = Window.partitionBy(*by, "bin").orderBy("at_ns", "side").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumns({"n_in": F.sum("n").over(inside), "code_in": F.bit_xor("code").over(inside)}).where("side = 1").join(before, [*by, "bin"])
+    n = F.col("n_in") + F.coalesce("n_before", F.lit(0))
+    return run.select(*by, "id", n.cast("bigint").alias("n_time"), F.when(n == 1, F.col("code_in").bitwiseXOR(F.coalesce("code_before", F.lit(0).cast("bigint")))).alias("code"))
+
+
 def match_intervals(transitions: DataFrame, gaps: DataFrame, by: list[str], bin_ns: int) -> DataFrame:
     """Each transition's match among intervals: by both connections, by one, or by time, in that order.
 
     transitions(id, by..., at_ns, old_connection, new_connection); gaps(by..., gap_id, started_at_ns, ended_at_ns,
-    original_connection, new_connection). Candidates come from three equi-joins (old connection, new connection,
-    time bin), so no pair of a whole stream is made; a closed interval falls into the bins it spans, and an open one
-    into one row for its stream, held against later transitions by time alone.
-    Several candidates of the deciding strength are AMBIGUOUS; an open interval is PENDING.
+    original_connection, new_connection), a row for each gap_id. Several candidates of the deciding strength are AMBIGUOUS; an
+    open interval is PENDING. Only counts and single candidates are ever needed, so intervals are counted by connection
+    before they meet transitions, and time decides only where no connection does: see covering().
     """
     t, g = transitions, gaps.select(*by, "gap_id", "started_at_ns", "ended_at_ns", "original_connection", F.col("new_connection").alias("renewed_connection"))
-    carry = ["id", "at_ns", "old_connection", "new_connection"]
-    time_ok = (F.col("started_at_ns") <= F.col("at_ns")) & (F.col("ended_at_ns").isNull() | (F.col("at_ns") <= F.col("ended_at_ns")))
-    kept = [*by, *carry, "gap_id", "started_at_ns", "ended_at_ns", "original_connection", "renewed_connection"]
-    old = t.join(g.withColumn("old_connection", F.col("original_connection")), [*by, "old_connection"]).select(*kept)
-    new = t.join(g.withColumn("new_connection", F.col("renewed_connection")), [*by, "new_connection"]).select(*kept)
-    bins = lambda ns: floor_div(ns, bin_ns)
-    closed = g.where("ended_at_ns is not null and ended_at_ns >= started_at_ns").withColumn("bin", F.explode(F.sequence(bins(F.col("started_at_ns")), bins(F.col("ended_at_ns")))))
-    during = t.withColumn("bin", bins(F.col("at_ns"))).join(closed, [*by, "bin"]).where(time_ok).select(*kept)
-    still_open = t.join(g.where("ended_at_ns is null"), by).where(F.col("started_at_ns") <= F.col("at_ns")).select(*kept)
-    pairs = old.unionByName(new).unionByName(during).unionByName(still_open).distinct()
-    o = F.coalesce(F.col("old_connection") == F.col("original_connection"), F.lit(False))
-    n = F.coalesce(F.col("new_connection") == F.col("renewed_connection"), F.lit(False))
-    pairs = pairs.withColumn("kind", F.when(o & n, "EXACT_PAIR").when(o, "PARTIAL_OLD").when(n, "PARTIAL_NEW").otherwise("TIME_ONLY"))
-    one = F.struct("gap_id", "kind", "ended_at_ns")
-    strength = lambda kinds, name: [F.count_if(F.col("kind").isin(*kinds)).alias(f"n_{name}"), F.min(F.when(F.col("kind").isin(*kinds), one)).alias(f"g_{name}")]
-    tallied = pairs.groupBy(*by, "id").agg(*strength(["EXACT_PAIR"], "exact"), *strength(["PARTIAL_OLD", "PARTIAL_NEW"], "partial"), *strength(["TIME_ONLY"], "time"))
-    rows = t.join(tallied, [*by, "id"], "left").fillna(0, ["n_exact", "n_partial", "n_time"])
-    ambiguous = (F.col("n_exact") > 1) | ((F.col("n_exact") == 0) & ((F.col("n_partial") > 1) | ((F.col("n_partial") == 0) & (F.col("n_time") > 1))))
-    chosen = F.when(F.col("n_exact") == 1, F.col("g_exact")).when(F.col("n_partial") == 1, F.col("g_partial")).when(F.col("n_time") == 1, F.col("g_time"))
-    rows = rows.withColumn("__c", F.when(~ambiguous, chosen))
+    one = F.min(F.struct("gap_id", "ended_at_ns"))
+    renamed = {"old_connection": F.col("original_connection"), "new_connection": F.col("renewed_connection")}
+    out = t
+    for name, columns in (("old", ["old_connection"]), ("new", ["new_connection"]), ("both", ["old_connection", "new_connection"])):
+        tallied = g.withColumns({c: renamed[c] for c in columns}).groupBy(*by, *columns).agg(F.count("*").alias(f"n_{name}"), one.alias(f"g_{name}"))
+        out = out.join(tallied, [*by, *columns], "left")
+    out = out.fillna(0, ["n_old", "n_new", "n_both"])
+    unnamed = out.where("n_old = 0 and n_new = 0")
+    timed = covering(unnamed, g, by, bin_ns)
+    spans = g.select(*by, F.xxhash64(*by, "gap_id").alias("code"), F.struct("gap_id", "ended_at_ns").alias("g_time"))
+    out = out.join(timed, [*by, "id"], "left").join(spans, [*by, "code"], "left").fillna(0, ["n_time"])
+    partial = F.col("n_old") + F.col("n_new") - 2 * F.col("n_both")
+    exact, some = F.col("n_both"), F.col("n_old") + F.col("n_new") > 0
+    ambiguous = F.when(exact > 0, exact > 1).when(some, partial > 1).otherwise(F.col("n_time") > 1)
+    kind = F.when(exact > 0, "EXACT_PAIR").when(F.col("n_old") > 0, "PARTIAL_OLD").when(F.col("n_new") > 0, "PARTIAL_NEW").when(F.col("n_time") > 0, "TIME_ONLY")
+    chosen = F.when(exact > 0, F.col("g_both")).when(F.col("n_old") > 0, F.col("g_old")).when(F.col("n_new") > 0, F.col("g_new")).otherwise(F.col("g_time"))
+    rows = out.withColumns({"__c": F.when(~ambiguous, chosen), "__k": kind})
     return rows.select(
         *by, "id", "at_ns",
         F.when(ambiguous, "AMBIGUOUS").when(F.col("__c").isNull(), "UNMATCHED").when(F.col("__c.ended_at_ns").isNull(), "PENDING").otherwise("MATCHED").alias("match"),
-        F.when(ambiguous, "AMBIGUOUS").when(F.col("__c").isNull(), "NONE").otherwise(F.col("__c.kind")).alias("identity_match"), F.col("__c.gap_id").alias("gap_id"),
+        F.when(ambiguous, "AMBIGUOUS").when(F.col("__c").isNull(), "NONE").otherwise(F.col("__k")).alias("identity_match"), F.col("__c.gap_id").alias("gap_id"),
+    )
+
+
+EXPLICIT, OVERLAP, UNMARKED, UNKNOWN = "EXPLICIT_SEQUENCE_GAP", "BLUE_GREEN_OVERLAP", "UNMARKED_RECONNECT", "UNKNOWN"
+#: The order in which transitions are told (missing connections first).
+TRANSITION_ORDER = ("occurred_at_utc_ns", "old_chunk_id", "new_chunk_id", "old_connection_id", "new_connection_id", "boundary_kind")
+#: Evidence about one transition, as boolean columns: the first that holds decides. False where it isn't known.
+EVIDENCE = (
+    ("new_marked", EXPLICIT),  # the new connection's first frame owns up to a gap
+    ("old_end_marked", EXPLICIT),  # the old one's last frame does, and isn't its first as well
+    ("old_marked", UNKNOWN),  # it does, and may mean the boundary before
+    ("overlapped", OVERLAP),  # both frames were caught by deployments that ran at once
+    ("old_chunk_marked", EXPLICIT),  # a chunk of one connection was sealed as ended by a reconnect
+    ("between_marked", EXPLICIT),  # a chunk without frames, between the two, was
+    ("pair_recorded", EXPLICIT),  # an interval names exactly these two connections
+    ("partly_recorded", UNKNOWN),  # an interval names one of them, or holds the time, or several do
+    ("chunk_evidence", UNKNOWN),  # a chunk has a gap or overlap that can't be told to be here
+)
+
+
+def overlapping(old_flags: Column, new_flags: Column) -> Column:
+    """Both frames are marked as overlap, by deployments that are the same or not told."""
+    ids = lambda f: F.filter(f, lambda x: x.startswith("deployment_id="))
+    same = ((F.size(ids(old_flags)) == 0) & (F.size(ids(new_flags)) == 0)) | F.arrays_overlap(ids(old_flags), ids(new_flags))
+    return F.array_contains(old_flags, "blue_green_overlap") & F.array_contains(new_flags, "blue_green_overlap") & same
+
+
+def frame_transitions(frames: DataFrame, by: list[str], order: list[str], connection: str = "connection_id", flags: str = "capture_flags") -> DataFrame:
+    """by..., order..., the two connections, and what the two frames say, wherever a frame's connection isn't the one before's."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    changed = ~F.coalesce(F.lag(connection).over(w).eqNullSafe(F.col(connection)), F.lit(False)) | F.lag(F.lit(1)).over(w).isNull()
+    starts = frames.withColumn("__starts", changed)
+    before = F.lag(F.struct(F.col(connection).alias("connection"), F.coalesce(F.col(flags), F.array().cast("array<string>")).alias("flags"), F.col("__starts").alias("starts"))).over(w)
+    rows = starts.withColumn("__before", before).where(F.col("__starts") & F.col("__before").isNotNull())
+    old, new = F.col("__before.flags"), F.coalesce(F.col(flags), F.array().cast("array<string>"))
+    marked = F.array_contains(old, "sequence_gap")
+    return rows.select(
+        *by, *order, F.col("__before.connection").alias("old_connection_id"), F.col(connection).alias("new_connection_id"),
+        F.array_contains(new, "sequence_gap").alias("new_marked"), (marked & ~F.col("__before.starts")).alias("old_end_marked"), marked.alias("old_marked"), overlapping(old, new).alias("overlapped"),
     )
 
 
+def recorded(identity_match: Column) -> list[Column]:
+    """Evidence columns of match_intervals()' identity_match."""
+    return [(identity_match == "EXACT_PAIR").alias("pair_recorded"), identity_match.isin("PARTIAL_OLD", "PARTIAL_NEW", "TIME_ONLY", "AMBIGUOUS").alias("partly_recorded")]
+
+
+def transition_kinds(transitions: DataFrame) -> DataFrame:
+    """transitions with `kind`, by whichever columns of EVIDENCE they have, in TRANSITION_ORDER as far as they have its columns."""
+    kind = F.lit(UNMARKED)
+    for name, found in reversed([(n, k) for n, k in EVIDENCE if n in transitions.columns]):
+        kind = F.when(F.coalesce(F.col(name), F.lit(False)), found).otherwise(kind)
+    out = transitions.withColumn("kind", kind)
+    keys = [F.coalesce(F.col(c), F.lit("")) if c.endswith("connection_id") else F.col(c) for c in TRANSITION_ORDER if c in transitions.columns]
+    return out.orderBy(*keys) if keys else out
+
+
+def kind_tallies(classified: DataFrame, by: list[str]) -> DataFrame:
+    """Transitions of each key, in all and by kind."""
+    of = lambda k, name: F.count_if(F.col("kind") == k).alias(name)
+    return classified.groupBy(*by).agg(F.count("*").alias("transitions_total"), of(EXPLICIT, "explicit_gap"), of(OVERLAP, "blue_green_overlap"), of(UNMARKED, "unmarked_reconnect"), of(UNKNOWN, "unknown"))
+
+
 def audit_tallies(classified: DataFrame, by: list[str], kind: str) -> DataFrame:
     """Counts by kind for each key and in all; the total has null keys."""
     return classified.rollup(*by).agg(F.count("*").alias("total"), F.count_if(F.col(kind) == "MATCHED").alias("matched"), F.count_if(F.col(kind) == "UNMATCHED").alias("unmatched"), F.count_if(F.col(kind) == "AMBIGUOUS").alias("ambiguous"), F.count_if(F.col(kind) == "PENDING").alias("pending"))
@@ -112,7 +191,11 @@ def gap_counts(events: DataFrame, matches: DataFrame) -> DataFrame:
     return events.agg(of("STARTED").alias("started"), of("COMPLETED").alias("completed")).crossJoin(matches.agg(F.count_distinct("gap_id").alias("matched")))  # two rows of one
 
 
-def inventory_digest(paths: DataFrame, path: str = "path", groups: int = 4096) -> DataFrame:
-    """SHA-256 over the sorted SHA-256 of hash groups of sorted paths: no task holds more than a group of them."""
-    each = paths.groupBy(F.pmod(F.xxhash64(path), F.lit(groups)).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(path)), "\n"), 256).alias("h"), F.count("*").alias("n"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+def inventory_digest(paths: DataFrame, path: str = "path") -> dict:
+    """SHA-256 of an inventory's paths in order, one to a line, and their count. The sort is distributed; the fold over it streams a
+    partition at a time through the driver, since a hash of all has no parts."""
+    digest, n = sha256(), 0
+    for (one,) in paths.select(path).orderBy(path).toLocalIterator():
+        digest.update(b"\n" * (n > 0) + one.encode())
+        n += 1
+    return {"digest": digest.hexdigest(), "n": n}

@@ -36,15 +36,6 @@ def envelope_projection(spark, sf_dir):
     return frames(spark, sf_dir).where("k is not null").select("event_id", "receive_ns", "receive_date", "receive_hour", F.col("event_type").alias("stream"), "k")
 
 
-def stream_range_filter(spark, sf_dir):
-    """Half-open: a day from its first nanosecond to before the next one's, for two streams."""
-    e = frames(spark, sf_dir)
-    first = e.agg(F.min("receive_date").alias("d"))
-    start = F.unix_date(F.to_date("d")).cast("bigint") * 86_400_000_000_000
-    bounds = first.select(start.alias("a"), (start + 86_400_000_000_000).alias("b"))
-    return e.join(F.broadcast(bounds), (F.col("receive_ns") >= F.col("a")) & (F.col("receive_ns") < F.col("b"))).where(F.col("event_type").isin("click", "view")).select("event_id", "event_type", "receive_ns")  # one row of bounds
-
-
 def keyed(spark, sf_dir):
     return frames(spark, sf_dir).withColumn("semantic", F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "receive_date")).withColumn("logical", F.pmod("cents", F.lit(3)).cast("string"))
 
@@ -70,42 +61,6 @@ def dup_lineage(spark, sf_dir):
     return out.select("semantic", "logical", F.array_join(F.transform("sources", lambda s: s["event_id"].cast("string")), ",").alias("lineage"))
 
 
-def partition_stats(spark, sf_dir):
-    e = frames(spark, sf_dir)
-    return e.groupBy("event_type", "receive_date", "receive_hour").agg(F.count("*").alias("n_rows"), F.min("receive_ns").alias("min_ns"), F.max("receive_ns").alias("max_ns"), F.count_distinct("user_id").alias("n_connections"))
-
-
-def clocked(spark, sf_dir):
-    """An exchange clock in milliseconds that every seventh frame lacks; some frames have no gap-free source."""
-    e = frames(spark, sf_dir)
-    return e.withColumn("exchange_ms", F.when(F.pmod(F.coalesce("k", F.lit(0)), F.lit(7)) != 0, floor_div(F.col("receive_ns"), 1_000_000) - F.col("k"))).withColumn("unreliable", F.pmod("event_id", F.lit(11)) == 0)
-
-
-def replay_receive_order(spark, sf_dir):
-    """The order made checkable: each frame's place in its stream, by (clock, connection, id)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("receive_ns", "user_id", "event_id")
-    return frames(spark, sf_dir).select("event_id", "event_type", "receive_ns", F.row_number().over(w).cast("bigint").alias("place"))
-
-
-def replay_exchange_fallback(spark, sf_dir):
-    c = clocked(spark, sf_dir)
-    return c.select("event_id", F.coalesce(F.col("exchange_ms") * 1_000_000, F.col("receive_ns")).alias("event_ns"), F.col("exchange_ms").isNull().alias("used_fallback"))
-
-
-def gap_policy_exclude(spark, sf_dir):
-    return clocked(spark, sf_dir).where("not unreliable").select("event_id", "receive_ns")
-
-
-def gap_policy_include(spark, sf_dir):
-    return clocked(spark, sf_dir).select("event_id", "receive_ns", "unreliable")
-
-
-def checkpoint_seek(spark, sf_dir):
-    return frames(spark, sf_dir).where(F.col("event_id") > 500).select("event_id", "receive_ns")
-
-
 def connection_transitions(spark, sf_dir):
     e = frames(spark, sf_dir)
     return quality.transitions(e, ["event_type", "receive_date"], ["receive_ns", "event_id"], connection="user_id", flags=None)
@@ -141,12 +96,16 @@ def closed_gap_pairs(spark, sf_dir):
 
 
 def degraded_pairs(spark, sf_dir):
-    return gaps.degraded_pairs(gap_events(spark, sf_dir), ["at_ns", "event_id"]).select("gap_id")
+    """Generations count from 50 here, so that some are negative."""
+    return gaps.degraded_pairs(gap_events(spark, sf_dir).withColumn("generation", F.col("generation") - 50), ["at_ns", "event_id"]).select("gap_id")
 
 
 def malformed_gap_events(spark, sf_dir):
-    e = gap_events(spark, sf_dir).withColumn("generation", F.col("generation") - 5)
-    return gaps.malformed_events(e).select("event_id", "reason")
+    """Evidence of which some is cut off, some a list, and some without a market, stream or gap_id."""
+    case = F.pmod("event_id", F.lit(8))
+    e = gap_events(spark, sf_dir).withColumn("evidence", F.when(case == 0, '{"market":').when(case == 1, '["m"]').otherwise('{"market":"m"}'))
+    e = e.withColumns({"market": F.when(case != 2, F.col("market")), "stream": F.when(case == 3, "").otherwise(F.col("stream")), "gap_id": F.when(case != 4, F.col("gap_id"))})
+    return gaps.malformed_events(e, "evidence").select("event_id", "reason")
 
 
 def gap_lifecycle(spark, sf_dir):
@@ -156,18 +115,12 @@ def gap_lifecycle(spark, sf_dir):
 
 def interval_match(spark, sf_dir):
     """Frames as transitions between neighbours in a stream and day, against the gaps of clicks and purchases."""
-    e = frames(spark, sf_dir).where(F.pmod("event_id", F.lit(4)) == 0)  # every fourth frame stands for a transition
+    e = frames(spark, sf_dir)
     t = e.select(F.lit("m").alias("market"), F.lit("s").alias("stream"), F.col("event_id").alias("id"), F.col("receive_ns").alias("at_ns"), F.concat_ws("/", F.col("user_id").cast("string"), "receive_date").alias("old_connection"), F.col("k").cast("string").alias("new_connection"))
     g = gaps.intervals(gap_events(spark, sf_dir), ["at_ns", "event_id"]).withColumn("original_connection", F.col("gap_id")).where("ended_at_ns is null or ended_at_ns - started_at_ns between 0 and 3600000000000")
     return gaps.match_intervals(t, g, ["market", "stream"], HOUR_NS).select("id", "match", "identity_match", "gap_id")
 
 
-def metric_counters(spark, sf_dir):
-    e = frames(spark, sf_dir)
-    one = lambda t: F.count_if(F.col("event_type") == t).alias(f"n_{t}")
-    return e.groupBy("receive_date").agg(F.count("*").alias("accepted"), one("click"), one("view"), one("purchase"), F.count_if(F.col("k").isNull()).alias("malformed"), F.sum("cents").alias("cents"), F.min("receive_ns").alias("first_ns"), F.max("receive_ns").alias("last_ns"))
-
-
 def lags(spark, sf_dir):
     """Nanoseconds that a frame's content stands for, over the histogram's whole range."""
     return frames(spark, sf_dir).withColumn("lag", F.abs("cents") * 1_000_003)
@@ -273,21 +226,15 @@ def content_digests(spark, sf_dir):
 
 SQL = {
     "envelope_projection": BASE + "SELECT event_id, receive_ns, receive_date, receive_hour, event_type AS stream, k FROM e WHERE k IS NOT NULL",
-    "stream_range_filter": BASE + "SELECT event_id, event_type, receive_ns FROM e, (SELECT epoch_us(date_trunc('day', min(ts))) * 1000 AS a FROM events) b WHERE receive_ns >= a AND receive_ns < a + 86400000000000 AND event_type IN ('click', 'view')",
-    "partition_stats": BASE + "SELECT event_type, receive_date, receive_hour, count(*) AS n_rows, min(receive_ns) AS min_ns, max(receive_ns) AS max_ns, count(DISTINCT user_id) AS n_connections FROM e GROUP BY ALL",
-    "replay_receive_order": BASE + "SELECT event_id, event_type, receive_ns, row_number() OVER (PARTITION BY event_type ORDER BY receive_ns, user_id, event_id) AS place FROM e",
-    "gap_policy_exclude": BASE + "SELECT event_id, receive_ns FROM e WHERE event_id % 11 <> 0",
-    "gap_policy_include": BASE + "SELECT event_id, receive_ns, event_id % 11 = 0 AS unreliable FROM e",
-    "checkpoint_seek": BASE + "SELECT event_id, receive_ns FROM e WHERE event_id > 500",
     "connection_transitions": BASE + "SELECT * FROM (SELECT event_type, receive_date, receive_ns, event_id, lag(user_id) OVER (PARTITION BY event_type, receive_date ORDER BY receive_ns, event_id) AS old_connection, user_id AS new_connection FROM e) WHERE old_connection <> new_connection",
     "first_connection_frames": BASE + "SELECT event_id, event_type, user_id FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type, receive_date ORDER BY receive_ns, event_id) AS o FROM e) WHERE o IS NULL OR o <> user_id",
     "open_gaps": GAPS + "SELECT gap_id, at_ns, event_id FROM g WHERE kind = 'STARTED' AND gap_id NOT IN (SELECT gap_id FROM g WHERE kind = 'COMPLETED')",
     "closed_gap_pairs": GAPS + "SELECT s.gap_id, s.at_ns AS started_ns, c.at_ns AS ended_ns, s.event_id AS start_event, c.event_id AS end_event FROM s JOIN c USING (gap_id)",
-    "degraded_pairs": GAPS + "SELECT s.gap_id FROM s JOIN c USING (gap_id) WHERE s.connection IS NULL OR c.connection IS NULL OR s.generation < 0 OR c.generation < 0",
-    "malformed_gap_events": GAPS + "SELECT event_id, CASE WHEN connection IS NULL THEN 'MISSING_CONNECTION' ELSE 'INVALID_GENERATION' END AS reason FROM g WHERE connection IS NULL OR generation - 5 < 0",
+    "degraded_pairs": GAPS + "SELECT s.gap_id FROM s JOIN c USING (gap_id) WHERE s.generation < 50 OR c.generation < 50",
+    "malformed_gap_events": GAPS + "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'evidence_not_json' WHEN 1 THEN 'evidence_not_object' WHEN 2 THEN 'missing_market' WHEN 3 THEN 'missing_stream' ELSE 'missing_gap_id' END AS reason FROM g WHERE event_id % 8 < 5",
     "gap_lifecycle": BASE + "SELECT user_id, CASE WHEN bool_or(event_type = 'click') AND bool_or(event_type = 'purchase') THEN 'CLOSED' WHEN bool_or(event_type = 'click') THEN 'OPEN' ELSE 'ABSENT' END AS state FROM e GROUP BY user_id",
     "interval_match": GAPS + """, i AS (SELECT s.gap_id, s.at_ns AS a, c.at_ns AS b, c.connection AS nc FROM s LEFT JOIN c USING (gap_id) WHERE c.at_ns IS NULL OR c.at_ns - s.at_ns BETWEEN 0 AND 3600000000000),
-t AS (SELECT event_id AS id, receive_ns AS at, user_id || '/' || receive_date AS oc, CAST(k AS VARCHAR) AS nc FROM e WHERE event_id % 4 = 0),
+t AS (SELECT event_id AS id, receive_ns AS at, user_id || '/' || receive_date AS oc, CAST(k AS VARCHAR) AS nc FROM e),
 p AS (SELECT t.id, i.gap_id, i.b, CASE WHEN t.oc = i.gap_id AND t.nc = i.nc THEN 'EXACT_PAIR' WHEN t.oc = i.gap_id THEN 'PARTIAL_OLD' WHEN t.nc = i.nc THEN 'PARTIAL_NEW' ELSE 'TIME_ONLY' END AS kind
   FROM t JOIN i ON t.oc = i.gap_id OR t.nc = i.nc OR (i.a <= t.at AND (i.b IS NULL OR t.at <= i.b))),
 q AS (SELECT id, count(*) FILTER (kind = 'EXACT_PAIR') AS x, count(*) FILTER (kind LIKE 'PARTIAL%') AS y, count(*) FILTER (kind = 'TIME_ONLY') AS z FROM p GROUP BY id),
@@ -295,7 +242,6 @@ r AS (SELECT q.*, CASE WHEN x = 1 THEN 'EXACT_PAIR' WHEN x = 0 AND y = 1 THEN 'P
 w AS (SELECT r.id, r.d, p.gap_id, p.b, p.kind FROM r LEFT JOIN p ON p.id = r.id AND r.d <> 'AMBIGUOUS' AND p.kind LIKE r.d || '%')
 SELECT t.id, CASE WHEN w.id IS NULL THEN 'UNMATCHED' WHEN w.d = 'AMBIGUOUS' THEN 'AMBIGUOUS' WHEN w.b IS NULL THEN 'PENDING' ELSE 'MATCHED' END AS match,
   CASE WHEN w.id IS NULL THEN 'NONE' WHEN w.d = 'AMBIGUOUS' THEN 'AMBIGUOUS' ELSE w.kind END AS identity_match, w.gap_id FROM t LEFT JOIN w USING (id)""",
-    "metric_counters": BASE + "SELECT receive_date, count(*) AS accepted, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (k IS NULL) AS malformed, CAST(sum(cents) AS BIGINT) AS cents, min(receive_ns) AS first_ns, max(receive_ns) AS last_ns FROM e GROUP BY receive_date",
     "daily_rollup": BASE + "SELECT event_type AS stream, count(*) FILTER (receive_date = '2024-01-10') AS websocket_messages, CAST(coalesce(sum(cents) FILTER (receive_date = '2024-01-10'), 0) AS BIGINT) AS raw_bytes_written, count(*) AS lifetime_websocket_messages, CAST(sum(cents) AS BIGINT) AS lifetime_raw_bytes_written FROM e WHERE receive_date <= '2024-01-10' GROUP BY event_type",
     "pair_rate_median": BASE + "SELECT user_id, round(quantile_cont(rate, 0.5), 4) + 0.0 AS median_rate, count(rate) AS n_rates FROM (SELECT user_id, CASE WHEN receive_ns > lag(receive_ns) OVER w THEN CAST(lag(cents) OVER w - cents AS DOUBLE) * 1000000000 / (receive_ns - lag(receive_ns) OVER w) END AS rate FROM e WINDOW w AS (PARTITION BY user_id ORDER BY receive_ns, event_id)) GROUP BY user_id",
     "period_gaps": BASE + ", p AS (SELECT DISTINCT event_type, receive_ns // 1800000000000 AS period FROM e), s AS (SELECT event_type, min(period) AS a, max(period) AS b FROM p GROUP BY event_type), x AS (SELECT event_type, unnest(range(a, b + 1)) AS period FROM s) SELECT event_type, period FROM x WHERE (event_type, period) NOT IN (SELECT event_type, period FROM p)",
@@ -308,7 +254,6 @@ SELECT t.id, CASE WHEN w.id IS NULL THEN 'UNMATCHED' WHEN w.d = 'AMBIGUOUS' THEN
     "stream_union": BASE + "SELECT event_id, receive_ns, k AS update_id, NULL::BIGINT AS price FROM e WHERE event_type = 'click' UNION ALL SELECT event_id, receive_ns, NULL, cents FROM e WHERE event_type = 'purchase'",
     "audit_rollup": BASE + "SELECT event_type, count(*) AS total, count(*) FILTER (event_id % 3 = 0) AS matched, count(*) FILTER (event_id % 3 = 1) AS unmatched, 0::BIGINT AS ambiguous, count(*) FILTER (event_id % 3 = 2) AS pending FROM e GROUP BY ROLLUP (event_type)",
     "content_digests": BASE + "SELECT DISTINCT event_type, true AS same FROM e",
-    "replay_exchange_fallback": BASE + "SELECT event_id, CASE WHEN coalesce(k, 0) % 7 <> 0 THEN (receive_ns // 1000000 - k) * 1000000 ELSE receive_ns END AS event_ns, coalesce(k, 0) % 7 = 0 AS used_fallback FROM e",
 }
 KEYED = BASE + ", y AS (SELECT *, user_id || '|' || event_type || '|' || receive_date AS semantic, CAST(((cents % 3) + 3) % 3 AS VARCHAR) AS logical FROM e), d AS (SELECT semantic, logical, arg_min(event_id, (receive_ns, event_id)) AS event_id, CAST(count(*) AS INTEGER) AS duplicate_count, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY receive_ns, event_id) AS lineage FROM y GROUP BY semantic, logical), v AS (SELECT *, count(*) OVER (PARTITION BY semantic) > 1 AS identity_conflict FROM d) "
 BOUNDS = ", ".join(f"({b})" for b in metrics.BOUNDS)
