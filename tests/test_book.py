@@ -85,11 +85,26 @@ def test_a_lost_update_never_looks_complete(spot, seed):
     assert "SEQUENCE_GAP" in results and not m.complete
 
 
-def test_overflow_clears():
+def test_overflow_refuses_until_restarted():
     m = Machine(spot=True)
-    for n in range(book.BUFFER + 1):
-        m.offer(update(n, n))
-    assert [a[0] for a in m.audits] == ["bootstrap_buffer_near_capacity", "bootstrap_buffer_overflow"] and len(m.buffer) == 1
+    assert {m.offer(update(n, n)) for n in range(book.BUFFER)} == {"BUFFERED"}
+    assert m.offer(update(8192, 8193, at=5)) == "REFUSED" == m.offer(update(9000, 9001)) and m.buffer == []
+    assert [a[:2] for a in m.audits] == [("bootstrap_buffer_near_capacity", 6143), ("bootstrap_buffer_overflow", 8193)]
+    assert m.snapshot(8999, B, A, 0) == "NEED_MORE_EVENTS"
+    m.restart()
+    m.offer(update(9002, 9003))
+    assert m.snapshot(9001, B, A, 0) == "SYNCHRONIZED" and m.update_id == 9003
+    m.offer(update(1, 7, at=3))
+    assert m.audits[-1] == ("duplicate_or_stale_depth", 7, 3)
+
+
+def test_tickers():
+    m = Machine(spot=True)
+    assert m.compare(2, ("1", "1"), ("2", "1"), 0) == "UNAVAILABLE"
+    m.offer(update(1, 2))
+    m.snapshot(1, B, A, 0)
+    assert [m.compare(n, ("100.0", "1"), ("101", "1.00"), 0) for n in (1, 2, 3)] == ["STALE", "MATCH", "AHEAD"]
+    assert m.compare(2, ("100", "2"), ("101", "1"), 4) == "MISMATCH" and m.audits[-1] == ("book_ticker_mismatch", 2, 4)
 
 
 def test_run_over_frames_equals_the_machine(spark):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clocks import floor_div
+
 BUFFER, WARN_AT = 8192, 0.75
 
 
@@ -59,17 +62,21 @@ def compare_ticker(tickers: DataFrame, books: DataFrame, by: list[str]) -> DataF
     return j.withColumn("comparison", state.when(equal, "MATCH").otherwise("MISMATCH"))
 
 
-def bridging_update(updates: DataFrame, snapshots: DataFrame, by: list[str], spot: bool) -> DataFrame:
+def bridging_update(updates: DataFrame, snapshots: DataFrame, by: list[str], spot: bool, bucket: int = 1 << 16) -> DataFrame:
     """For each snapshot, the first update that reaches its target, and whether it covers it.
 
-    As-of without a range join: updates and targets are sorted together, and each target takes the first final id
-    at or after it from the rows that follow.
+    As-of without a range join: updates and targets are sorted together from the last id down, and each target takes the
+    update seen last. Sorting is inside buckets of ids; a bucket without an update above the target takes the least of
+    the next bucket that has one, so a symbol is as many tasks as its ids need.
     """
     target = F.col("last_update_id") + (1 if spot else 0)
     points = snapshots.select(*by, target.alias("at"), F.lit(0).alias("side"), "last_update_id", F.lit(None).cast("struct<u:bigint,first:bigint>").alias("up"))
     steps = updates.select(*by, F.col("final_update_id").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("last_update_id"), F.struct(F.col("final_update_id").alias("u"), F.col("first_update_id").alias("first")).alias("up"))
-    w = Window.partitionBy(*by).orderBy("at", "side", F.col("up.first")).rowsBetween(0, Window.unboundedFollowing)
-    found = points.unionByName(steps).withColumn("next", F.first("up", ignorenulls=True).over(w)).where("side = 0")
+    rows = points.unionByName(steps).withColumn("bucket", floor_div(F.col("at"), bucket))
+    down = Window.partitionBy(*by, "bucket").orderBy(F.desc("at"), F.desc("side"), F.desc(F.col("up.first"))).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*by).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    carried = rows.groupBy(*by, "bucket").agg(F.min("up").alias("up")).select(*by, "bucket", F.last("up", ignorenulls=True).over(above).alias("carry"))
+    found = rows.withColumn("own", F.last("up", ignorenulls=True).over(down)).where("side = 0").join(carried, [*by, "bucket"]).withColumn("next", F.coalesce("own", "carry"))
     return found.select(*by, "last_update_id", F.col("next.first").alias("first_update_id"), F.col("next.u").alias("final_update_id"), F.when(F.col("next").isNull(), "NEED_MORE_EVENTS").when(F.col("next.first") <= F.col("at"), "SYNCHRONIZED").otherwise("SNAPSHOT_TOO_OLD").alias("result"))
 
 
@@ -88,9 +95,17 @@ def decimal(text: str, positive: bool) -> Decimal:
     return value
 
 
+#: What a depth update does in each state of a book, and what a snapshot does.
+ON_DEPTH = {"filling": "hold", "full": "refuse", "live": "follow", "broken": "hold"}
+ON_SNAPSHOT = {"filling": "bridge", "full": "refuse", "live": "bridge", "broken": "bridge"}
+
+
 @dataclass
 class Machine:
-    """One market's and symbol's book. Feed it depth updates and snapshots in receive order.
+    """One market's and symbol's book, in one of four states. Feed it depth updates and snapshots in receive order.
+
+    filling: updates wait for a snapshot. full: too many did; they are gone, and nothing is taken until restart(). live: updates are
+    applied. broken: an update was missed, and updates wait for a snapshot again.
 
     spot: an update may start at most one past the book's id; otherwise it must name the book's id as its
     predecessor. A stale update is skipped before that test; the update that bridges a snapshot is applied
@@ -103,11 +118,15 @@ class Machine:
     buffer: list = field(default_factory=list)
     audits: list = field(default_factory=list)
     gaps: list = field(default_factory=list)
-    resync: bool = False
+    state: str = "filling"
     complete: bool = True
     warned: bool = False
     prices: dict = field(default_factory=dict)  # of each side, in order
 
+    @property
+    def resync(self) -> bool:
+        return self.state == "broken" or (self.state == "full" and self.book is not None)
+
     def clear(self) -> None:
         self.book, self.prices = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}
 
@@ -115,58 +134,86 @@ class Machine:
         prices = self.prices[side] if self.book is not None else []
         return prices[-1 if side == "bid" else 0] if prices else None
 
-    def audit(self, kind: str, at: int, detail: str = "") -> None:
-        self.audits.append((kind, self.update_id, at, detail))
+    def audit(self, kind: str, update_id: int, at: int) -> None:
+        self.audits.append((kind, update_id, at))
+
+    def restart(self) -> None:
+        """Forgets what was derived, before a fresh connection and snapshot; gaps and audits stay."""
+        self.book, self.buffer, self.warned, self.state = None, [], False, "filling"
+
+    def offer(self, update: dict) -> str:
+        return getattr(self, ON_DEPTH[self.state])(update)
 
     def snapshot(self, last_update_id: int, bids: list, asks: list, at: int) -> str:
-        target = last_update_id + 1 if self.spot else last_update_id
-        if not self.buffer:
+        if ON_SNAPSHOT[self.state] == "refuse":
             return "NEED_MORE_EVENTS"
-        ready = [u for u in self.buffer if u["final"] >= target]
-        if not ready:
+        return self.bridge(last_update_id, bids, asks)
+
+    def refuse(self, update: dict) -> str:
+        return "REFUSED"
+
+    def hold(self, update: dict) -> str:
+        if len(self.buffer) == BUFFER:
+            self.buffer, self.state = [], "full"
+            self.audit("bootstrap_buffer_overflow", update["final"], update["at"])
+            return "REFUSED"
+        self.buffer.append(update)
+        if len(self.buffer) >= WARN_AT * BUFFER and not self.warned:
+            self.warned = True
+            self.audit("bootstrap_buffer_near_capacity", update["final"], update["at"])
+        return "BUFFERED"
+
+    def follow(self, update: dict) -> str:
+        if update["final"] <= self.update_id:
+            self.audit("duplicate_or_stale_depth", update["final"], update["at"])
+        elif self.connects(update):
+            self.apply(update)
+        else:
+            self.gaps.append({"last_reliable_update_id": self.update_id, "first": update["first"], "final": update["final"], "started_at_ns": update["at"], "ended_at_update_id": None})
+            self.audit("sequence_gap", update["final"], update["at"])
+            self.state, self.complete, self.buffer = "broken", False, [update]
+            return "SEQUENCE_GAP"
+        return "APPLIED"
+
+    def connects(self, update: dict) -> bool:
+        return update["first"] <= self.update_id + 1 if self.spot else update["previous"] == self.update_id
+
+    def bridge(self, last_update_id: int, bids: list, asks: list) -> str:
+        target = last_update_id + self.spot
+        first = next((k for k, u in enumerate(self.buffer) if u["final"] >= target), None)
+        if first is None:
             self.buffer = []
             return "NEED_MORE_EVENTS"
-        if not ready[0]["first"] <= target <= ready[0]["final"]:
+        if self.buffer[first]["first"] > target:
             return "SNAPSHOT_TOO_OLD"
+        waiting = deque(u for u in self.buffer[first:] if u["final"] >= target)
+        again, self.state, self.buffer, self.warned, self.update_id = self.state == "broken", "live", [], False, last_update_id
         self.clear()
         self.put(bids, asks)
-        self.update_id, self.buffer, self.warned, again, self.resync = last_update_id, [], False, self.resync, False
-        for k, update in enumerate(ready):
-            if k == 0:
-                self.apply(update)
-            elif not self.live(update):
-                self.buffer += ready[k + 1 :]
-                return "SEQUENCE_GAP"
+        last = waiting[-1]["at"]
+        self.apply(waiting.popleft())
+        while waiting and self.state == "live":
+            self.follow(waiting.popleft())
+        if self.state != "live":
+            self.buffer += waiting
+            return "SEQUENCE_GAP"
         if again:
             if self.gaps and self.gaps[-1]["ended_at_update_id"] is None:
                 self.gaps[-1]["ended_at_update_id"] = self.update_id
-            self.audit("orderbook_resync", ready[-1]["at"])
+            self.audit("orderbook_resync", self.update_id, last)
         return "SYNCHRONIZED"
 
-    def offer(self, update: dict) -> str:
-        if self.book is not None and not self.resync:
-            return "APPLIED" if self.live(update) else "SEQUENCE_GAP"
-        if len(self.buffer) >= BUFFER:
-            self.buffer = []
-            self.complete = False
-            self.audit("bootstrap_buffer_overflow", update["at"])
-        self.buffer.append(update)
-        if not self.warned and len(self.buffer) >= WARN_AT * BUFFER:
-            self.warned = True
-            self.audit("bootstrap_buffer_near_capacity", update["at"])
-        return "BUFFERED"
-
-    def live(self, update: dict) -> bool:
-        if update["final"] <= self.update_id:
-            self.audit("duplicate_or_stale_depth", update["at"])
-            return True
-        if update["first"] > self.update_id + 1 if self.spot else update["previous"] != self.update_id:
-            self.gaps.append({"last_reliable_update_id": self.update_id, "first": update["first"], "final": update["final"], "started_at_ns": update["at"], "ended_at_update_id": None})
-            self.audit("sequence_gap", update["at"])
-            self.resync, self.complete, self.buffer = True, False, [update]
-            return False
-        self.apply(update)
-        return True
+    def compare(self, update_id: int, bid: tuple, ask: tuple, at: int) -> str:
+        """A ticker (price and quantity of both sides, as texts) against the book; equal ids with other best levels are audited."""
+        if self.state != "live":
+            return "UNAVAILABLE"
+        if update_id != self.update_id:
+            return "STALE" if update_id < self.update_id else "AHEAD"
+        theirs = [(decimal(p, True), decimal(q, False)) for p, q in (bid, ask)]
+        if [(p, self.book[side].get(p)) if (p := self.best(side)) is not None else None for side in ("bid", "ask")] == theirs:
+            return "MATCH"
+        self.audit("book_ticker_mismatch", self.update_id, at)
+        return "MISMATCH"
 
     def put(self, bids: list, asks: list) -> None:
         for side, levels in (("bid", bids), ("ask", asks)):
@@ -183,9 +230,9 @@ class Machine:
         self.put(update["bids"], update["asks"])
         self.update_id = update["final"]
         if not self.book["bid"] or not self.book["ask"]:
-            self.audit("empty_book_side", update["at"])
+            self.audit("empty_book_side", self.update_id, update["at"])
         elif self.best("bid") >= self.best("ask"):
-            self.audit("crossed_book", update["at"])
+            self.audit("crossed_book", self.update_id, update["at"])
 
     def document(self) -> dict:
         """The canonical book: bids from the highest, asks from the lowest."""
@@ -197,7 +244,7 @@ class Machine:
 
     def checkpoint(self) -> str:
         """JSON of the book and its intervals, with a hash over both that restore() checks."""
-        body = {"spot": self.spot, "book": self.document(), "gaps": self.gaps, "resync": self.resync}
+        body = {"spot": self.spot, "book": self.document(), "gaps": self.gaps, "state": self.state}
         text = json.dumps(body, sort_keys=True, separators=(",", ":"))
         return json.dumps({"body": body, "sha256": sha256(text.encode()).hexdigest()}, sort_keys=True)
 
@@ -207,7 +254,7 @@ class Machine:
         body = found["body"]
         if sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest() != found["sha256"]:
             raise ValueError("a checkpoint whose hash differs")
-        out = cls(body["spot"], update_id=body["book"]["update_id"], gaps=body["gaps"], resync=body["resync"], complete=body["book"]["complete"] and not body["gaps"])
+        out = cls(body["spot"], update_id=body["book"]["update_id"], gaps=body["gaps"], state=body["state"], complete=body["book"]["complete"] and not body["gaps"])
         out.clear()
         out.put(body["book"]["bids"], body["book"]["asks"])
         return out

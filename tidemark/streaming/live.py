@@ -51,12 +51,14 @@ def live_book(events: DataFrame) -> DataFrame:
         if state.exists:
             saved, buffer = state.get
             machine = Machine.restore(saved) if saved else Machine(key[0] == "spot")
-            machine.buffer = json.loads(buffer)
+            kept = json.loads(buffer)
+            machine.buffer, machine.state = kept["updates"], kept["state"]
         else:
             machine = Machine(key[0] == "spot")
         out = []
-        for batch in [b.sort_values(["receive_time_utc_ns", "ordinal"]) for b in batches]:
-            for r in batch.itertuples(index=False):
+        whole = list(batches)  # a group's part of a micro-batch may come in several Arrow batches, in any order
+        if whole:
+            for r in pd.concat(whole).sort_values(["receive_time_utc_ns", "ordinal"]).itertuples(index=False):
                 bids, asks = json.loads(r.bids_json), json.loads(r.asks_json)
                 if r.kind == "snapshot":
                     result = machine.snapshot(int(r.final), bids, asks, int(r.receive_time_utc_ns))
@@ -65,7 +67,7 @@ def live_book(events: DataFrame) -> DataFrame:
                 bid, ask = machine.best("bid"), machine.best("ask")
                 out.append((*key, machine.update_id, result, None if bid is None else plain(bid), None if ask is None else plain(ask), machine.book is not None and machine.complete and not machine.resync))
         machine.audits = []
-        state.update((machine.checkpoint() if machine.book is not None else "", json.dumps(machine.buffer)))
+        state.update((machine.checkpoint() if machine.book is not None else "", json.dumps({"updates": machine.buffer, "state": machine.state})))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in BOOK_OUT.split(", ")])
 
     return events.groupBy("market", "symbol").applyInPandasWithState(step, BOOK_OUT, "book string, buffer string", "append", GroupStateTimeout.NoTimeout)
