@@ -25,17 +25,17 @@ def rest(model, **parameters):
 FIVE = {"symbol": "BTCUSDT", "pair": "BTCUSDT", "timestamp": 300000, "sumOpenInterest": "1", "sumOpenInterestValue": "2", "buySellRatio": "1", "buyVol": "2", "sellVol": "3", "longShortRatio": "1", "longAccount": "0.5", "shortAccount": "0.5", "contractType": "PERPETUAL", "indexPrice": "1", "futuresPrice": "1", "basis": "0.1", "basisRate": "0.01", "annualizedBasisRate": ""}
 SYMBOL = {"symbol": "BTCUSDT", "status": "TRADING", "contractType": "PERPETUAL", "filters": [{"b": 1, "a": "x"}], "orderTypes": ["LIMIT"]}
 PAYLOADS = {
-    ("spot", "diff_depth"): {"e": "depthUpdate", "E": 1, "s": "BTCUSDT", "U": 157, "u": 160, "b": LEVELS, "a": []},
-    ("spot", "agg_trade"): {"e": "aggTrade", "E": 1, "s": "BTCUSDT", "a": 12345, "p": "0.001", "q": "100", "f": 100, "l": 105, "T": 2, "m": True, "M": True},
-    ("spot", "book_ticker"): {"u": 400900217, "s": "BTCUSDT", "b": "25.3", "B": "31.2", "a": "25.4", "A": "40.6"},
-    ("spot", "depth_snapshot"): rest({"lastUpdateId": 157, "bids": LEVELS, "asks": LEVELS}),
+    ("spot", "diff_depth"): {"e": "depthUpdate", "E": 1, "s": "BTCUSDT", "U": 7101, "u": 7104, "b": LEVELS, "a": []},
+    ("spot", "agg_trade"): {"e": "aggTrade", "E": 1, "s": "BTCUSDT", "a": 8801, "p": "0.001", "q": "100", "f": 100, "l": 105, "T": 2, "m": True, "M": True},
+    ("spot", "book_ticker"): {"u": 8803, "s": "BTCUSDT", "b": "7.5", "B": "3.5", "a": "7.6", "A": "2.5"},
+    ("spot", "depth_snapshot"): rest({"lastUpdateId": 7101, "bids": LEVELS, "asks": LEVELS}),
     ("spot", "exchange_info"): rest({"serverTime": 5, "symbols": [SYMBOL], "rateLimits": []}),
-    ("um_perpetual", "diff_depth"): {"e": "depthUpdate", "E": 1, "T": 2, "s": "BTCUSDT", "U": 157, "u": 160, "pu": 149, "b": LEVELS, "a": LEVELS},
-    ("um_perpetual", "agg_trade"): {"e": "aggTrade", "E": 1, "s": "BTCUSDT", "a": 5933014, "p": "0.001", "q": "100", "f": 100, "l": 105, "T": 2, "m": False},
+    ("um_perpetual", "diff_depth"): {"e": "depthUpdate", "E": 1, "T": 2, "s": "BTCUSDT", "U": 7101, "u": 7104, "pu": 7093, "b": LEVELS, "a": LEVELS},
+    ("um_perpetual", "agg_trade"): {"e": "aggTrade", "E": 1, "s": "BTCUSDT", "a": 8802, "p": "0.001", "q": "100", "f": 100, "l": 105, "T": 2, "m": False},
     ("um_perpetual", "book_ticker"): {"e": "bookTicker", "u": 7, "E": 1, "T": 1, "s": "BTCUSDT", "b": "1", "B": "2", "a": "3", "A": "4"},
-    ("um_perpetual", "depth_snapshot"): rest({"lastUpdateId": 160, "bids": [], "asks": []}),
+    ("um_perpetual", "depth_snapshot"): rest({"lastUpdateId": 7104, "bids": [], "asks": []}),
     ("um_perpetual", "mark_price"): {"e": "markPriceUpdate", "E": 9, "s": "BTCUSDT", "p": "1", "i": "2", "P": "3", "r": "0.0001", "T": 10},
-    ("um_perpetual", "liquidation"): {"e": "forceOrder", "E": 9, "o": {"s": "BTCUSDT", "S": "SELL", "o": "LIMIT", "f": "IOC", "q": "0.014", "p": "9910", "ap": "9910", "X": "FILLED", "l": "0.014", "z": "0.014", "T": 8}},
+    ("um_perpetual", "liquidation"): {"e": "forceOrder", "E": 9, "o": {"s": "BTCUSDT", "S": "SELL", "o": "LIMIT", "f": "IOC", "q": "0.25", "p": "4400", "ap": "4400", "X": "FILLED", "l": "0.25", "z": "0.25", "T": 8}},
     ("um_perpetual", "premium_index_snapshot"): rest({"symbol": "BTCUSDT", "markPrice": "1", "indexPrice": "1", "estimatedSettlePrice": "1", "lastFundingRate": "0", "interestRate": "0", "nextFundingTime": 3, "time": 4}),
     ("um_perpetual", "funding_history"): rest([{"symbol": "BTCUSDT", "fundingRate": "0.1", "fundingTime": 1}, {"symbol": "BTCUSDT", "fundingRate": "0.2", "fundingTime": 2, "markPrice": "5"}]),
     ("um_perpetual", "funding_info"): rest([{"symbol": "OTHER"}]),
@@ -67,9 +67,9 @@ def test_every_stream_parses(spark):
 
 def test_identity_is_canonical_json(spark):
     row = parse_stream(envelopes(spark, [("spot", "diff_depth", PAYLOADS["spot", "diff_depth"], {})]), "spot", "diff_depth").first()
-    identity = {"kind": "diff_depth", "market": "spot", "symbol": "BTCUSDT", "U": 157, "u": 160}
+    identity = {"kind": "diff_depth", "market": "spot", "symbol": "BTCUSDT", "U": 7101, "u": 7104}
     assert row.semantic_key_sha256 == hashlib.sha256(canonical(identity).encode()).hexdigest()
-    content = {"first_update_id": 157, "final_update_id": 160, "previous_final_update_id": None, "bids_json": canonical(LEVELS), "asks_json": "[]"}
+    content = {"first_update_id": 7101, "final_update_id": 7104, "previous_final_update_id": None, "bids_json": canonical(LEVELS), "asks_json": "[]"}
     whole = {"event_kind": "market_event", "valid": True, "error_code": None, "exchange_event_time_ms": 1500, "exchange_transaction_time_ms": None, "exchange_trade_time_ms": None, "content": content}
     assert row.logical_record_sha256 == hashlib.sha256(canonical(whole).encode()).hexdigest()
     assert (row.receive_date, row.receive_hour, row.source_sequence_json) == ("2026-01-01", 0, '{"u":1}')
@@ -77,7 +77,7 @@ def test_identity_is_canonical_json(spark):
 
 
 def test_strict_types(spark):
-    cases = [({"U": True}, "U must be a non-negative integer"), ({"u": -1}, "u must be a non-negative integer"), ({"U": 161}, "depth U exceeds u"), ({"s": "X"}, "payload symbol differs from envelope"), ({"b": [["1"]]}, "b contains invalid price levels"), ({"b": [[1, "2"]]}, "b contains invalid price levels"), ({"a": None}, "a must be an array"), ({"U": "157"}, "U must be a non-negative integer")]
+    cases = [({"U": True}, "U must be a non-negative integer"), ({"u": -1}, "u must be a non-negative integer"), ({"U": 7105}, "depth U exceeds u"), ({"s": "X"}, "payload symbol differs from envelope"), ({"b": [["1"]]}, "b contains invalid price levels"), ({"b": [[1, "2"]]}, "b contains invalid price levels"), ({"a": None}, "a must be an array"), ({"U": "7101"}, "U must be a non-negative integer")]
     rows = parse_stream(envelopes(spark, [("spot", "diff_depth", PAYLOADS["spot", "diff_depth"] | c, {}) for c, _ in cases]), "spot", "diff_depth").orderBy("source_record_ordinal").collect()
     assert [(r.valid, r.error_code, r.event_kind, r.first_update_id) for r in rows] == [(False, f"SCHEMA_ERROR:{e}", "malformed", None) for _, e in cases]
 

@@ -22,7 +22,7 @@ from tidemark.sources.rawchunk import Fault, read_chunk, read_chunks, scan_chunk
 @pytest.fixture(scope="module")
 def chunks(spark, tmp_path_factory):
     """Files of three chunks of raw depth frames, and the envelopes they hold."""
-    rows = [("spot", "diff_depth", PAYLOADS["spot", "diff_depth"] | {"u": 160 + n}, {"source_sequence": {"U": "157", "u": str(160 + n), "x": '"a"'}}) for n in range(30)]
+    rows = [("spot", "diff_depth", PAYLOADS["spot", "diff_depth"] | {"u": 7104 + n}, {"source_sequence": {"U": "7101", "u": str(7104 + n), "x": '"a"'}}) for n in range(30)]
     e = envelopes(spark, rows).select(*(f.name for f in schemas.ENVELOPE.fields))
     made = to_chunks(with_rotation(e), "k1", "1", T0, max_bytes=5000).collect()
     folder = tmp_path_factory.mktemp("chunks")
@@ -129,8 +129,8 @@ def test_sinks_refuse_contradictions(spark, tmp_path):
     from tidemark.operators.lifecycle import ARCHIVE_STEPS, steps
 
     now = spark.createDataFrame([("c1", "COPYING")], "chunk_id string, state string")
-    ask = lambda a, b: spark.createDataFrame([("c1", a, b, "k")], "chunk_id string, from_state string, to_state string, idempotency_key string")
-    assert sinks.apply_transitions(ask("COPYING", "VERIFYING"), now, steps(spark, ARCHIVE_STEPS), "chunk_id").first().state == "VERIFYING"
+    ask = lambda a, b: spark.createDataFrame([("c1", a, b, "k", 1)], "chunk_id string, from_state string, to_state string, idempotency_key string, requested_at_ns bigint")
+    assert sinks.apply_transitions(ask("COPYING", "VERIFYING"), now, steps(spark, ARCHIVE_STEPS), "chunk_id")[0].first().state == "VERIFYING"
     with pytest.raises(sinks.Conflict):
         sinks.apply_transitions(ask("COPYING", "VERIFIED"), now, steps(spark, ARCHIVE_STEPS), "chunk_id")
     nested = spark.createDataFrame([((1, ("x",)), [1, 2])], "a struct<b:int,c:struct<d:string>>, e array<int>")

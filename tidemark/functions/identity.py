@@ -7,7 +7,10 @@ Where byte parity with another writer's escapes and numbers matters, `canonical_
 from __future__ import annotations
 
 import json
+import struct
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,23 +44,54 @@ def canonical_json_exact(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def castagnoli_table() -> list[int]:
+def castagnoli_table() -> np.ndarray:
     """CRC-32C remainders of each byte."""
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)
-        out.append(n)
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = out >> 1 ^ np.where(out & 1, np.uint32(0x82F63B78), np.uint32(0))
     return out
 
 
-TABLE = castagnoli_table()
+BYTES = castagnoli_table()
+#: Remainders of each pair of bytes, for short data.
+PAIRS = (BYTES[BYTES[np.arange(1 << 16) & 255] & 255 ^ np.arange(1 << 16) >> 8] ^ BYTES[np.arange(1 << 16) & 255] >> 8).tolist()
+#: Bytes of a lane; data of several lanes goes through all of them at once.
+LANE = 256
+
+
+@cache
+def lane_shift() -> list[list[int]]:
+    """What LANE zero bytes make of a remainder, by each of its bytes."""
+    out = []
+    for k in range(4):
+        x = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+        for _ in range(LANE):
+            x = BYTES[x & 255] ^ x >> 8
+        out.append(x.tolist())
+    return out
 
 
 def crc32c_of(data: bytes, value: int = 0) -> int:
+    """CRC-32C of data that goes on from what `value` is the checksum of."""
     value ^= 0xFFFFFFFF
-    for b in data:
-        value = TABLE[(value ^ b) & 255] ^ value >> 8
+    if len(data) >= 8 * LANE:
+        x = np.zeros(-(-len(data) // LANE) * LANE, np.uint8)  # zeros in front leave a remainder of zero as it is
+        pad = len(x) - len(data)
+        x[pad:] = np.frombuffer(data, np.uint8)
+        x[pad : pad + 4] ^= np.frombuffer(value.to_bytes(4, "little"), np.uint8)
+        lanes = np.ascontiguousarray(x.reshape(-1, LANE).T)
+        rest = np.zeros(lanes.shape[1], np.uint32)
+        for row in lanes:
+            rest = BYTES[rest & 255 ^ row] ^ rest >> 8
+        a, b, c, d = lane_shift()
+        value = 0
+        for r in rest.tolist():
+            value = a[value & 255] ^ b[value >> 8 & 255] ^ c[value >> 16 & 255] ^ d[value >> 24] ^ r
+        return value ^ 0xFFFFFFFF
+    for pair in struct.unpack_from(f"<{len(data) // 2}H", data):
+        value = PAIRS[(value ^ pair) & 0xFFFF] ^ value >> 16
+    if len(data) % 2:
+        value = int(BYTES[(value ^ data[-1]) & 255]) ^ value >> 8
     return value ^ 0xFFFFFFFF
 
 

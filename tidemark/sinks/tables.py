@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.dedup import build_totals, partition_statistics
@@ -78,9 +78,10 @@ def write_build(rows: DataFrame, path: str, identity: str) -> dict:
     return body
 
 
-def append_new(batch: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
-    """Of a batch, the rows whose key the table hasn't: a whole metric batch is written once however often it comes."""
-    return batch.dropDuplicates(key).join(table.select(*key).distinct(), key, "left_anti")
+def append_new(batch: DataFrame, table: DataFrame, batch_id: str = "batch_id") -> DataFrame:
+    """Of rows of metric batches, those whose batch the table hasn't: a batch is written whole once, however often it comes,
+    and a batch that is known is left out whole, even where a retry brings other rows."""
+    return batch.join(table.select(batch_id).distinct(), batch_id, "left_anti").select(*(F.col(f"`{c}`") for c in batch.columns))
 
 
 def insert_events(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -103,17 +104,29 @@ def advance_cursors(batch: DataFrame, cursors: DataFrame, key: str, position: st
     return j.select(key, F.coalesce("__new", position).alias(position))
 
 
-def apply_transitions(requests: DataFrame, current: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
-    """States after requests(key, from_state, to_state, idempotency_key). A request of a state that isn't current, or of
-    a step that isn't allowed, is an error; one that has already happened is nothing."""
-    once = requests.dropDuplicates(["idempotency_key"])
-    j = once.join(current.select(key, F.col("state").alias("__now")), key, "left").join(F.broadcast(allowed.withColumn("__ok", F.lit(True))), ["from_state", "to_state"], "left")
-    done = F.coalesce(F.col("__now") == F.col("to_state"), F.lit(False))
-    bad = j.where(~done & ~(F.coalesce(F.col("__now") == F.col("from_state"), F.lit(False)) & F.coalesce("__ok", F.lit(False)))).limit(1).collect()
+def apply_transitions(requests: DataFrame, current: DataFrame, allowed: DataFrame, key: str, log: DataFrame | None = None, order: tuple[str, ...] = ("requested_at_ns", "idempotency_key")) -> tuple[DataFrame, DataFrame]:
+    """(states after the requests, rows to add to the log of transitions).
+
+    requests(key, from_state, to_state, idempotency_key, requested_at_ns) of one key are taken in `order`, each from the state that the one
+    before it reached; a request whose idempotency_key the log has already happened and is nothing. One that doesn't start where its
+    key stands, a step that isn't allowed, an unknown key, or two contents of one idempotency_key are errors, and nothing is applied.
+    """
+    content = F.struct(key, "from_state", "to_state")
+    twice = requests.groupBy("idempotency_key").agg(F.min(content).alias("a"), F.max(content).alias("b")).where("a <> b").limit(1).collect()
+    if twice:
+        raise Conflict(f"idempotency key {twice[0][0]}")
+    new = requests.groupBy("idempotency_key", key, "from_state", "to_state").agg(*(F.min(c).alias(c) for c in order if c != "idempotency_key"))
+    if log is not None:
+        new = new.join(log.select("idempotency_key").distinct(), "idempotency_key", "left_anti")
+    chain = Window.partitionBy(key).orderBy(*order)
+    steps = new.join(current.select(key, F.col("state").alias("__now")), key, "left").withColumn("__at", F.coalesce(F.lag("to_state").over(chain), "__now"))
+    steps = steps.join(F.broadcast(allowed.select("from_state", "to_state").distinct().withColumn("__ok", F.lit(True))), ["from_state", "to_state"], "left")  # a fixed table of states
+    bad = steps.where(~(F.coalesce(F.col("__at") == F.col("from_state"), F.lit(False)) & F.coalesce("__ok", F.lit(False)))).limit(1).collect()
     if bad:
         raise Conflict(f"{bad[0][key]}: {bad[0]['from_state']} to {bad[0]['to_state']}")
-    moved = once.groupBy(key).agg(F.max("to_state").alias("__to"))
-    return current.join(moved, key, "left").withColumn("state", F.coalesce("__to", "state")).drop("__to")
+    moved = new.groupBy(key).agg(F.max_by("to_state", F.struct(*order)).alias("__to"))
+    states = current.join(moved, key, "left").withColumn("state", F.coalesce("__to", "state")).drop("__to")
+    return states, steps.select(key, "from_state", "to_state", *dict.fromkeys(("idempotency_key", *order)))
 
 
 def severity_log(samples: DataFrame, by: list[str], order: list[str], severity: Column) -> DataFrame:
