@@ -12,7 +12,7 @@ def test_flagship(spark):
     import __spark_entry__
 
     out = __spark_entry__.entry(spark)
-    assert out.columns == ["event_id", "event_type", "receive_ns", "place"] and out.count() > 0
+    assert out.columns == ["event_id", "market", "stream", "event_time_ns", "unreliable", "place"] and out.count() > 0
 
 
 def test_every_core_query_has_sql():

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import events, stars
+from . import capture, events, stars
 
 
 def queries() -> dict:
-    return events.QUERIES | stars.QUERIES
+    return events.QUERIES | stars.QUERIES | capture.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return events.SQL | stars.SQL
+    return events.SQL | stars.SQL | capture.SQL
