@@ -87,6 +87,20 @@ def test_cutoffs_control_the_risk(spark, docs_of):
     assert none.where("kept <> (NOT base_failed)").count() == 0
 
 
+def test_some_hundred_labels_suffice(spark, docs_of):
+    """Six hundred labels certify a cutoff; copies of a few texts don't, however many rows they have."""
+    good = [" ".join(f"w{n}x{k}" for k in range(20)) for n in range(600)]
+    bad = [" ".join(f"b{n}x{k}!!" for k in range(20)) for n in range(60)]
+    docs = docs_of(good + bad)
+    labels = docs.select("doc_id", (F.col("doc_id") < len(good)).cast("int").alias("quality"))
+    kept = {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()}
+    assert kept == set(range(len(good)))
+    few = docs_of([good[n % 50] for n in range(len(good))] + bad)
+    assert quality.judge(few, labels).where("not kept").count() == 0
+    mixed = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "rare").otherwise("en"))
+    assert {r.lang for r in mixed.join(quality.judge(mixed, labels).where("not kept").select("doc_id"), "doc_id").select("lang").distinct().collect()} == {"en"}
+
+
 def brute_license(text):
     lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered)

@@ -1,14 +1,16 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule scores a document (higher is worse) and rejects from a cutoff on. Cutoffs come from labelled
-documents: for each stratum (a language), rule and cutoff of a fixed grid, the good documents that the
-cutoff would reject are counted, and an exact binomial (Clopper-Pearson) test asks whether the true rate of
-such false rejections is at most the rule's share of `RISK`. With Bonferroni's correction for all strata,
-rules and cutoffs, every cutoff that passes is safe at once with probability 1 - `DELTA`, so each rule takes
-its lowest passing cutoff; where none passes, it rejects nothing in that stratum. The whole set of rules
-then wrongly rejects at most `RISK` of a stratum's good documents.
-
-All work on documents is in DataFrame expressions, a row at a time; only counts for each stratum reach the driver.
+Each rule scores a document (higher is worse) and rejects from a cutoff on. Labelled documents that are known to be good
+choose the cutoffs, in two parts that share no text. The first part, of all strata together, orders the rules into one
+sequence of ever weaker rejections: at level a, each rule rejects from the lowest cutoff of a fixed grid that at most a share
+a of the part's good documents reach. The second part certifies, in each stratum (a language): from the strictest level on, an exact
+binomial (Clopper-Pearson) test asks whether the true rate of good documents that all rules together reject is at most `RISK`.
+Levels are tested in this fixed sequence until one fails, so they need no correction among themselves; strata are corrected
+for (Bonferroni). All strata then keep within `RISK` at once with probability 1 - `DELTA`, and a stratum takes the
+last level that passed. One without enough labels (some 220 good ones at four strata) rejects nothing beyond the base rules.
+
+Copies of a text, and rows that repeat a document, count once among the labelled documents, since they are no
+independent trials. All work on documents is in DataFrame expressions, a row at a time; only counts reach the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ RISK, DELTA, WINDOW, FEWEST, REPEATS = 0.02, 0.05, 5, 10, 20
 WORD_GAP = "[ \\t-\\r]+"
 #: Cutoffs that are tried for each rule; scores are shares from 0 to 1.
 GRID = [k / 40 for k in range(1, 41)]
+#: Levels of the sequence, from the strictest. Weaker ones reject more good documents and hardly more bad ones.
+LEVELS = [0.0, 0.0005, 0.001]
+#: One labelled document of so many orders the rules; the others certify.
+PARTS = 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,8 +97,8 @@ def measures(text: Column) -> Column:
 
 def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of docs, and each count as a column."""
-    m = docs.select(*(F.col(f"`{c}`") for c in keep), measures(F.col(f"`{text}`")).alias("__m"))
-    return m.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"__m.{c}").alias(f"__{c.rpartition('.')[2]}") for c in ("w.n_words", "w.word_chars", "w.n_repeat_words", "l.n_lines", "l.n_dup_lines", "n_symbols", "n_upper", "n_marks")))
+    m = docs.select(*(F.col(f"`{c}`") for c in keep), measures(F.col(f"`{text}`")).alias("__m"), F.xxhash64(F.col(f"`{text}`")).alias("__copy"))
+    return m.select(*(F.col(f"`{c}`") for c in keep), "__copy", *(F.col(f"__m.{c}").alias(f"__{c.rpartition('.')[2]}") for c in ("w.n_words", "w.word_chars", "w.n_repeat_words", "l.n_lines", "l.n_dup_lines", "n_symbols", "n_upper", "n_marks")))
 
 
 def base_failed() -> Column:
@@ -138,21 +144,33 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return beta(x, a, b) if x < (a + 1) / (a + b + 2) else 1 - beta(p, b, a)
 
 
+def ordered_cutoffs(good: DataFrame) -> list[dict[str, float]]:
+    """For each level, each rule's lowest cutoff that at most that share of good documents reach; a rule that none fits isn't there."""
+    scores = rules()
+    reach = good.agg(F.count("*").alias("n"), *(F.count_if(F.col(name) >= t).alias(f"{name}_{k}") for name in scores for k, t in enumerate(GRID))).first()
+    fits = lambda name, k, level: reach[f"{name}_{k}"] <= level * reach["n"]
+    return [{name: GRID[k] for name in scores if (k := next((k for k in range(len(GRID)) if fits(name, k, level)), None)) is not None} for level in LEVELS] if reach["n"] else []
+
+
 def cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """stratum -> rule -> the lowest safe cutoff. labels(doc_id, quality): 1 is good; where labels of a document differ, good wins."""
+    """stratum -> rule -> cutoff. labels(doc_id, quality): 1 is good; where labels of a document differ, good wins."""
     scores = rules()
     good = labels.where("quality = 1").select("doc_id").distinct()
-    at = lambda name: F.transform(F.array(*map(F.lit, GRID)), lambda t: (scores[name] >= t).cast("int"))
-    cells = measures.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("s"), *(F.aggregate(at(name), F.lit(0), lambda a, x: a + x).alias(name) for name in scores))
-    counts = cells.join(good, "doc_id").groupBy("s").agg(F.count("*").alias("n"), *(F.sum((F.col(name) > k).cast("long")).alias(f"{name}_{k}") for name in scores for k in range(len(GRID))))
-    found = [r.asDict() for r in counts.collect()]  # a row for each stratum
-    tests = max(1, len(found) * len(scores) * len(GRID))
-    safe = lambda r, name, k: binomial_tail(r[f"{name}_{k}"], r["n"], risk / len(scores)) <= delta / tests
+    cells = measures.where(~base_failed()).join(good, "doc_id", "left_semi").select("__copy", F.coalesce(F.col(stratum), F.lit("")).alias("s"), *(c.alias(name) for name, c in scores.items()))
+    once = scratch.keep(cells.groupBy("__copy", "s").agg(*(F.first(name).alias(name) for name in scores)), "labelled")  # equal texts score alike
+    mine = F.pmod(F.xxhash64("__copy"), F.lit(PARTS)) == 0
+    levels = ordered_cutoffs(once.where(mine))
+    if not levels:
+        return {}
+    rejected = lambda level: F.array_contains(F.array(F.lit(False), *(F.col(name) >= t for name, t in level.items())), True)
+    counts = once.where(~mine).groupBy("s").agg(F.count("*").alias("n"), *(F.count_if(rejected(level)).alias(f"k_{j}") for j, level in enumerate(levels))).collect()  # a row for each stratum
+    scratch.drop(once)
     out: dict[str, dict[str, float]] = {}
-    for r in found:
-        for name in scores:
-            if (best := next((k for k in range(len(GRID)) if safe(r, name, k)), None)) is not None:
-                out.setdefault(r["s"], {})[name] = GRID[best]
+    for row in counts:
+        for j, level in enumerate(levels):
+            if binomial_tail(row[f"k_{j}"], row["n"], risk) > delta / len(counts):
+                break
+            out[row["s"]] = level
     return out
 
 
