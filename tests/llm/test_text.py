@@ -130,11 +130,19 @@ def test_signature_rules(docs_of):
     assert len(inside) == 1  # shorter detections inside it are suppressed
 
 
+def test_bodies_and_notices(docs_of):
+    texts = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")",
+        "This text is dedicated to the public domain.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "you can redistribute it and/or modify it", "All rights reserved.",
+    ]
+    got = licenses.summary(licenses.scan(docs_of(texts))).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["bsd", "mit", "public-domain", "mpl-2", "", "proprietary"]
+
+
 def test_no_gate_loses_a_rule(docs_of, monkeypatch):
     """A text of every phrase around a name of every family has the same detections with and without gate and keywords."""
     names = {}
-    for line in licenses.FAMILIES.strip().splitlines():
-        label, pattern, _ = (x.strip() for x in line.split(" | "))
+    for label, pattern in licenses.lines(licenses.FAMILIES):
         options = [pattern] if not pattern.startswith("(?:") else pattern[3:].split(")")[0].split("|")
         for o in options:
             plain = re.sub(r"\(\?:[^()]*\)\??|\[.*?\]|\\w\*|\?", "", o)
@@ -143,10 +151,14 @@ def test_no_gate_loses_a_rule(docs_of, monkeypatch):
     ways += ["SPDX-License-Identifier: {} x", "licensed under {} x", "subject to {} licence x", "the {} license x", "license is {} x"]
     texts = [w.format(n) for own in names.values() for n in own for w in ways]
     texts += ["Released under GPL v3", "distributed under CC BY-SA 4.0", "available under the Apache 2.0", "released into the public domain", "published under CC0", "released under expat"]
+    signed = [re.sub(r"\(\?:\\?[^()]*\)\?|\?", "", re.sub(r"\.\{\d+,\d+\}", "some words ", p)) for _, p, _ in licenses.lines(licenses.SIGNATURES)]
+    texts = [re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", re.sub(r"\[(.)[^]]*\]", r"\1", t)) for t in signed] + texts
     rows = lambda: [tuple(r) for r in licenses.summary(licenses.scan(docs_of(texts))).orderBy("doc_id").collect()]
     got = rows()
     assert [r[6] for r in got[-6:]] == ["gpl-3", "cc-by-sa", "apache-2", "public-domain", "cc0", "mit"] and all(r[7] > 0 for r in got[-6:])
-    ungated = [r | {"keyword": ""} for r in licenses.signature_rules()]
+    signatures = licenses.lines(licenses.SIGNATURES)
+    assert all(label in r[6].split(",") for (label, _, _), r in zip(signatures, got, strict=False))
+    ungated = [r | {"keywords": [""]} for r in licenses.signature_rules()]
     monkeypatch.setattr(licenses, "TRIGGERS", ("",))
     monkeypatch.setattr(licenses, "signature_rules", lambda: ungated)
     assert rows() == got
