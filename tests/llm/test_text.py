@@ -1,6 +1,7 @@
 """Chat formatting, quality rules and license scans against brute force."""
 
 import collections
+import functools
 import math
 import re
 import sys
@@ -151,13 +152,13 @@ def test_no_gate_loses_a_rule(docs_of, monkeypatch):
     ways += ["SPDX-License-Identifier: {} x", "licensed under {} x", "subject to {} licence x", "the {} license x", "license is {} x"]
     texts = [w.format(n) for own in names.values() for n in own for w in ways]
     texts += ["Released under GPL v3", "distributed under CC BY-SA 4.0", "available under the Apache 2.0", "released into the public domain", "published under CC0", "released under expat"]
-    signed = [re.sub(r"\(\?:\\?[^()]*\)\?|\?", "", re.sub(r"\.\{\d+,\d+\}", "some words ", p)) for _, p, _ in licenses.lines(licenses.SIGNATURES)]
-    texts = [re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", re.sub(r"\[(.)[^]]*\]", r"\1", t)) for t in signed] + texts
+    steps = [(r"\.\{\d+,\d+\}", "some words "), (r"\(\?:[^()]*\)\?", ""), (r"\(\?:([^()|]*)[^()]*\)", r"\1"), (r"\?", ""), (r"\[(.)[^]]*\]", r"\1")]
+    texts = [functools.reduce(lambda t, step: re.sub(*step, t), steps, p) for _, p, _ in licenses.lines(licenses.SIGNATURES)] + texts
     rows = lambda: [tuple(r) for r in licenses.summary(licenses.scan(docs_of(texts))).orderBy("doc_id").collect()]
     got = rows()
     assert [r[6] for r in got[-6:]] == ["gpl-3", "cc-by-sa", "apache-2", "public-domain", "cc0", "mit"] and all(r[7] > 0 for r in got[-6:])
     signatures = licenses.lines(licenses.SIGNATURES)
-    assert all(label in r[6].split(",") for (label, _, _), r in zip(signatures, got, strict=False))
+    assert [(label, r[6], t) for (label, _, _), r, t in zip(signatures, got, texts, strict=False) if label not in r[6].split(",")] == []
     ungated = [r | {"keywords": [""]} for r in licenses.signature_rules()]
     monkeypatch.setattr(licenses, "TRIGGERS", ("",))
     monkeypatch.setattr(licenses, "signature_rules", lambda: ungated)
