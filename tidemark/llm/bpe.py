@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from . import scratch
 
 #: Strings that a worker remembers, in each of two generations. It bounds memory, not results.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Bytes of text that are worked on together; longer texts are cut at spaces, which no piece reaches across.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 22
 #: Characters that str.split() takes as white space but the vocabulary's normalizer doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
