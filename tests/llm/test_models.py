@@ -114,29 +114,24 @@ def test_op8_base_scores(spark, data):
 
 
 def test_rare_words_are_joined(docs_of):
-    """With a hot list of two words, all others go through the join and nothing changes."""
-    docs = docs_of(["a a b c", "a d e f f", "g", None, ""]).select("doc_id", F.lit(False).alias("held_out"), "text")
-    words, codes = ppm.train(docs)
-    a, b = (sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in ppm.score(docs, words, codes, hot=h).collect()) for h in (2, 100))
+    docs = docs_of(["a a a b b c", "a b d d e", "zz a"]).select("doc_id", (F.col("doc_id") == 2).alias("held_out"), "text")
+    a, b = (sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 4)) for r in ppm.score(docs, hot=h).collect()) for h in (2, 100))
     assert a == b
 
 
-def brute_ppm(train, text, edge=255):
+def brute_ppm(train, text, order=ppm.ORDER, edge=255):
     """Byte by byte: escape with the count of kinds, exclude what longer contexts have seen."""
-    pad = lambda t: bytes([edge] * 2) + t + bytes([edge])
+    pad = lambda t: bytes([edge] * order) + t + bytes([edge])
     counts = collections.defaultdict(collections.Counter)
     for t in map(pad, train):
-        for k in range(2, len(t)):
-            counts[t[k - 2 : k]][t[k]] += 1
-    lower = collections.defaultdict(collections.Counter)
-    for ctx, c in counts.items():
-        lower[ctx[1:]].update(c)
-        lower[b""].update(c)
+        for k in range(order, len(t)):
+            for j in range(order + 1):
+                counts[t[k - j : k]][t[k]] += 1
     total, t = 0.0, pad(text)
-    for k in range(2, len(t)):
+    for k in range(order, len(t)):
         out, p = set(), 1.0
-        for table in (counts.get(t[k - 2 : k], {}), lower.get(t[k - 1 : k], {}), lower.get(b"", {})):
-            left = {s: n for s, n in table.items() if s not in out}
+        for j in range(order, -1, -1):
+            left = {s: n for s, n in counts.get(t[k - j : k], {}).items() if s not in out}
             kinds = len(left)
             sure = kinds and kinds >= 256 - len(out)
             if t[k] in left:
@@ -151,15 +146,46 @@ def brute_ppm(train, text, edge=255):
     return total
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_byte_model_equals_brute_force(seed):
+@pytest.mark.parametrize("seed", range(3))
+def test_byte_model_equals_brute_force(docs_of, seed):
+    """Seed 2 trains on nothing. Blocks of 200 bytes, so that several ask for the same grams."""
     rng = random.Random(seed)
-    text = lambda: bytes(rng.choice(b"abcd \xc3\xa9") for _ in range(rng.randint(0, 40)))
-    train = [text() for _ in range(rng.randint(0, 8))]
-    codes, n = ppm.triples(train) if train else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    trie = ppm.Trie(codes, n)
-    tests = [text() for _ in range(6)] + [b"", b"zzz a"]
-    assert np.allclose(trie.scores(tests), [brute_ppm(train, t) for t in tests], atol=1e-4)
+    texts = ["".join(rng.choice("abcd \xe9") for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None, "zzz a", "A" * 300]
+    texts += [texts[3], texts[0]]
+    docs = docs_of(texts).select("doc_id", ((F.col("doc_id") % 3 == 1) | (seed == 2)).alias("held_out"), "text")
+    rows = ppm.score(docs.coalesce(2), block_bytes=200).collect()
+    train = [ppm.lower_bytes(texts[r.doc_id]) for r in rows if not r.held_out]
+    assert len(rows) == len(texts)
+    assert np.allclose([r.score for r in rows], [brute_ppm(train, ppm.lower_bytes(texts[r.doc_id])) for r in rows], atol=1e-3)
+
+
+@pytest.mark.parametrize("dense", [1, 1 << 10, 1 << 22])
+def test_grams_and_lookup(monkeypatch, dense):
+    """Indexed and searched tables agree with plain counting, over the edges of stretches too."""
+    monkeypatch.setattr(ppm, "STEP", 37)
+    rng = random.Random(dense)
+    texts = [bytes(rng.choice(b"ab\x00\xfe z") for _ in range(rng.choice([0, 1, 5, 200]))) for _ in range(30)]
+    training = np.array([rng.random() < 0.7 for _ in texts])
+    want, all_of = collections.Counter(), []
+    for t, own in zip(texts, training, strict=True):
+        padded = b"\xff" * ppm.ORDER + t + b"\xff"
+        all_of.append([int.from_bytes(padded[k : k + ppm.ORDER + 1], "big") for k in range(len(t) + 1)])
+        for g in all_of[-1]:
+            want[g] += bool(own)
+    found, n = ppm.summed(list(ppm.grams(texts, training, dense)))
+    assert dict(zip(found.tolist(), n.tolist(), strict=True)) == dict(want)
+    value = {g: rng.random() for g in want}
+    lookup = ppm.Lookup(found[::-1], np.array([value[g] for g in found[::-1].tolist()]), dense)
+    assert np.allclose(lookup.scores(texts), [sum(value[g] for g in own) for own in all_of])
+
+
+def test_full_contexts_do_not_escape(docs_of):
+    """A context that all bytes follow (as far as UTF-8 allows) and text outside training."""
+    texts = ["".join(map(chr, range(1, 128))), "é漢字𝄞", "new 語"]
+    docs = docs_of(texts).select("doc_id", (F.col("doc_id") == 2).alias("held_out"), "text")
+    got = {r.doc_id: r.score for r in ppm.score(docs).collect()}
+    train = [ppm.lower_bytes(t) for t in texts[:2]]
+    assert all(abs(got[i] - brute_ppm(train, ppm.lower_bytes(t))) < 1e-3 for i, t in enumerate(texts))
 
 
 def test_scores_of_odd_rows(docs_of, odd):

@@ -3,20 +3,21 @@
 The byte model is a trie of contexts of up to `ORDER` bytes with the counts of the bytes that follow them.
 A byte that a context has not seen costs an escape, estimated from the context's distinct followers
 (method C), and the next shorter context then predicts among the bytes not yet excluded; after the empty
-context, all bytes left are equally likely. The model is trained beforehand, so its code lengths are
-worked out once for each (context, byte) and a document's score is a sum of lookups. A text's code has a
-byte 0xFF, which UTF-8 never uses, before it (as context) and after it (as its end).
-
-Counts cover every training document. The trie's leaves are byte triples: at most 256 ** 3, some hundred
-thousand in practice, whatever the size of the corpus; that bound is what lets each worker hold them.
-Word counts have no such bound, so only the `HOT` commonest words go to the workers; the rest are joined.
+context, all bytes left are equally likely. A text's code has a byte 0xFF, which UTF-8 never uses, before it
+(as context) and after it (as its end). The model is trained beforehand.
+
+The trie is shared tables, so it may grow with the corpus: for each order, the grams (a context and the byte after it) with
+their counts, and the contexts with their totals. What a longer context has seen, the shorter ones that end it have seen too,
+so exclusion takes no sets: a context has to know only how many followers it has and how often its next
+shorter context saw those. No worker holds the trie: texts come in blocks of `BLOCK` bytes, a block asks for its
+distinct grams, and the code lengths of just those come back to it.
+Word counts: the `HOT` commonest words go to the workers; the rest are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,133 +26,192 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-ORDER, SYMBOLS, EDGE = 2, 257, 0xFF
+ORDER, EDGE = 4, 0xFF
+#: Bytes of text that share one request to the trie; a longer text is a block of its own.
+BLOCK = 16 << 20
+#: Positions that are worked on at once, and entries of a table that is indexed rather than searched.
+STEP, DENSE = 1 << 20, 1 << 22
 #: Commonest words that every worker holds.
 HOT = 200_000
 #: Distinct words that a task counts before it passes them on.
 HELD = 400_000
 
+BLOCKS = "kind int, block long, key long, doc_id long, held_out boolean, text string, gram long, token binary, n long"
+TEXTS, GRAMS, TOKENS = range(3)
+SCORED = "key long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_score double, score double, rare array<struct<token:binary,k:long>>"
+
 
 def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts with two edge bytes before each and one after it, and the index of each text's first byte."""
+    """All texts with `ORDER` edge bytes before each and one after it, and where each begins, edges included."""
     pad = bytes([EDGE]) * ORDER
     flat = np.frombuffer(b"".join([pad + t + pad[:1] for t in texts]), np.uint8)
     sizes = np.array([len(t) + ORDER + 1 for t in texts], np.int64)
-    return flat, np.cumsum(sizes) - sizes + ORDER
+    return flat, np.cumsum(sizes) - sizes
 
 
-def predicted(flat: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def predicted(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """True where a byte is part of a text's code, so not its leading context."""
     mask = np.ones(len(flat), bool)
-    for k in range(1, ORDER + 1):
-        mask[firsts - k] = False
+    for k in range(ORDER):
+        mask[starts + k] = False
     return mask
 
 
-def triples(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(code, count) of each byte with the two before it."""
-    flat, firsts = joined(texts)
-    used = np.nonzero(np.bincount(flat, minlength=256))[0]
-    slot = np.zeros(256, np.int32)
+def stretches(flat: np.ndarray) -> Iterator[tuple[int, int]]:
+    """All positions that have a whole context, some at a time."""
+    for at in range(ORDER, len(flat), STEP):
+        yield at, min(at + STEP, len(flat))
+
+
+def alphabet(used: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each byte of used, and how many there are."""
+    slot = np.zeros(256, np.int64)
     slot[used] = np.arange(len(used))
-    x, base = slot[flat], len(used)
-    codes = (x[:-2] * base + x[1:-1]) * base + x[2:]
-    found = np.bincount(codes[predicted(flat, firsts)[2:]], minlength=1)
-    at = np.nonzero(found)[0]
-    a, rest = np.divmod(at, base * base)
-    b, c = np.divmod(rest, base)
-    return (used[a] << 16) | (used[b] << 8) | used[c], found[at]
-
-
-class Trie:
-    """log10 probabilities of bytes after contexts of two bytes, for the bytes that training saw and one class of all others."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        present = np.zeros(256, bool)
-        for shift in (0, 8, 16):
-            present[(codes >> shift) & 255] = True
-        present[EDGE] = True
-        used = np.nonzero(present)[0]
-        self.size = m = len(used) + 1  # the last: bytes that were never seen
-        self.slot = np.full(256, m - 1, np.int32)
-        self.slot[used] = np.arange(m - 1)
-        unseen = 256 - len(used)
-        a, b, c = (self.slot[(codes >> s) & 255] for s in (16, 8, 0))
-        second = np.zeros((m * m, m))
-        np.add.at(second, (a * m + b, c), counts)
-        first = second.reshape(m, m, m).sum(axis=0)
-        none = first.sum(axis=0)
-        each = np.ones(m)  # bytes of each class
-        each[-1] = unseen
-        out = np.empty((m * m, m), np.float32)
-        for prev in range(m):
-            rows = second[np.arange(m) * m + prev]
-            out[np.arange(m) * m + prev] = self.blend([rows, np.broadcast_to(first[prev], (m, m)), np.broadcast_to(none, (m, m))], each)
-        self.table = out.reshape(-1)
-
-    @staticmethod
-    def blend(levels: list[np.ndarray], each: np.ndarray) -> np.ndarray:
-        """log10 of each byte's probability, from the longest context to none, with exclusion of what longer ones predict."""
-        left = np.ones(levels[0].shape, bool)  # not excluded
-        escape = np.zeros((len(levels[0]), 1))
-        out = np.zeros(levels[0].shape)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for counts in levels:
-                counts = np.where(left, counts, 0.0)
-                total, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-                seen = counts > 0
-                bytes_left = np.where(left, each, 0).sum(axis=1, keepdims=True)
-                sure = kinds >= bytes_left  # nothing is left to escape to
-                out = np.where(seen, escape + np.log10(counts / (total + np.where(sure, 0, kinds))), out)
-                escape = escape + np.where(total > 0, np.where(sure, 0, np.log10(kinds / (total + kinds))), 0.0)
-                left = left & ~seen
-            bytes_left = np.where(left, each, 0).sum(axis=1, keepdims=True)
-            out = np.where(left, escape - np.log10(np.maximum(bytes_left, 1)), out)
-        return out
+    return slot, len(used)
+
+
+def ranked(codes: np.ndarray, size: int, dense: int) -> tuple[np.ndarray, int]:
+    """Codes below size, numbered anew without holes."""
+    if size > dense:
+        found, at = np.unique(codes, return_inverse=True)
+        return at, len(found)
+    found = np.zeros(size, bool)
+    found[codes] = True
+    number = np.cumsum(found) - 1
+    return number[codes], int(number[-1]) + 1
+
+
+def grams(texts: list[bytes], training: np.ndarray, dense: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram, count) of every byte with the `ORDER` before it, some positions at a time; texts that aren't for training count 0."""
+    flat, starts = joined(texts)
+    if not len(texts):
+        return
+    mask = predicted(flat, starts)
+    counted = mask & np.repeat(training, np.diff(np.append(starts, len(flat))))
+    for s, e in stretches(flat):
+        x = flat[s - ORDER : e]
+        slot, m = alphabet(np.nonzero(np.bincount(x, minlength=256))[0])
+        y = slot[x]
+        codes, size = y[: e - s], m
+        for k in range(1, ORDER + 1):
+            if size * m > dense:
+                codes, size = ranked(codes, size, dense)
+            codes, size = codes * m + y[k : k + e - s], size * m
+        codes, size = ranked(codes, size, dense)
+        places = np.nonzero(mask[s:e])[0]
+        one = np.full(size, -1)
+        one[codes[places]] = places  # some place of each gram
+        n = np.bincount(codes[counted[s:e]], minlength=size)
+        real = one >= 0
+        found = np.zeros(int(real.sum()), np.int64)
+        for k in range(ORDER + 1):
+            found = (found << 8) | x[one[real] + k]
+        yield found, n[real]
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same gram added."""
+    found, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
+class Lookup:
+    """The code lengths of a block's grams, as a trie that is walked byte by byte."""
+
+    def __init__(self, found: np.ndarray, values: np.ndarray, dense: int = DENSE):
+        order = np.argsort(found)
+        found, self.values = found[order], values[order]
+        used = np.unique(np.concatenate([(found >> (8 * k)) & 255 for k in range(ORDER + 1)]))
+        self.slot, self.m = alphabet(used)
+        self.steps: list[tuple[bool, np.ndarray]] = []
+        above = np.unique(found >> (8 * ORDER))
+        self.first = np.zeros(256, np.int64)
+        self.first[above] = np.arange(len(above))
+        for k in range(ORDER - 1, -1, -1):
+            here = np.unique(found >> (8 * k))
+            codes = np.searchsorted(above, here >> 8) * self.m + self.slot[here & 255]
+            if len(above) * self.m <= dense:
+                table = np.zeros(len(above) * self.m, np.int32)
+                table[codes] = np.arange(len(here))
+                self.steps.append((True, table))
+            else:
+                self.steps.append((False, codes))  # ascending, as here is
+            above = here
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
-        flat, firsts = joined(texts)
-        x, m = self.slot[flat], self.size
-        parts = np.zeros(len(flat))
-        parts[2:] = self.table[(x[:-2] * m + x[1:-1]) * m + x[2:]]
-        parts[~predicted(flat, firsts)] = 0
-        return np.add.reduceat(parts, firsts - ORDER) if len(texts) else np.zeros(0)
+        """The sum over each text and its end."""
+        flat, starts = joined(texts)
+        out = np.zeros(len(texts))
+        if not len(texts):
+            return out
+        mask = predicted(flat, starts)
+        for s, e in stretches(flat):
+            x = flat[s - ORDER : e]
+            y, at = self.slot[x], self.first[x[: e - s]]
+            for k, (direct, table) in enumerate(self.steps, 1):
+                codes = at * self.m + y[k : k + e - s]
+                at = table[codes].astype(np.int64) if direct else np.minimum(np.searchsorted(table, codes), len(table) - 1)
+            part = np.where(mask[s:e], self.values[at], 0.0)
+            i, j = np.searchsorted(starts, [s, e - 1], side="right") - 1
+            out[i : j + 1] += np.add.reduceat(part, np.maximum(starts[i : j + 1] - s, 0))
+        return out
 
 
-def gather(docs: DataFrame) -> DataFrame:
-    """(token binary or null, code int or null, n) over docs: counts of words, of the end (an empty token) and of byte triples, partly summed."""
+def in_blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
+    """A shared table of docs(doc_id, held_out, text) in blocks, the distinct grams of each block with their counts in training,
+    and the training texts' words (the end: an empty token), partly counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        codes: list = []
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.binary(), pa.int64()]
+        names = [c.split()[0] for c in BLOCKS.split(", ")]
 
-        def out() -> Iterator[pa.RecordBatch]:
-            names = ["token", "code", "n"]
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], names=names)
-            if codes:
-                code, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([k for _, k in codes])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(code), pa.binary()), pa.array(code, pa.int32()), pa.array(n)], names=names)
+        def rows(kind: int, size: int, **given) -> pa.RecordBatch:
+            given["kind"] = pa.array(np.full(size, kind, np.int32))
+            return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, t)) for c, t in zip(names, types, strict=True)], names=names)
 
-        for batch in batches:
-            texts = [lower_bytes(t) for t in batch.column(0).to_pylist()]
-            for t in texts:
-                words.update(t.split())
-            words[b""] += len(texts)
-            for at in range(0, len(texts), 512):
-                codes.append(triples(texts[at : at + 512]))
-            if len(words) > HELD or len(codes) > 64:
-                yield from out()
-                words, codes = Counter(), []
-        yield from out()
+        def all_grams() -> pa.RecordBatch:
+            found, n = summed(parts)
+            return rows(GRAMS, len(found), block=pa.array(np.full(len(found), block)), gram=pa.array(found), n=pa.array(n))
 
-    return docs.select("text").mapInArrow(run, "token binary, code int, n long")
+        def all_words() -> pa.RecordBatch:
+            return rows(TOKENS, len(words), token=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+
+        words: Counter = Counter()
+        parts: list = []
+        block, held = None, 0
+        for batch in batches:
+            key, doc_id, held_out, text = batch.columns
+            if block is None:
+                block = key[0].as_py()
+            yield rows(TEXTS, len(key), block=pa.array(np.full(len(key), block)), key=key, doc_id=doc_id, held_out=held_out, text=text)
+            texts = [lower_bytes(t) for t in text.to_pylist()]
+            training = ~np.array(held_out.to_pylist(), bool)
+            for t, own in zip(texts, training, strict=True):
+                if own:
+                    words.update(t.split())
+                    words[b""] += 1
+            for part in grams(texts, training):
+                parts.append(part)
+                if len(parts) > 8:
+                    parts = [summed(parts)]
+            held += sum(map(len, texts))
+            if held > block_bytes:
+                yield all_grams()
+                parts, block, held = [], None, 0
+            if len(words) > HELD:
+                yield all_words()
+                words = Counter()
+        if parts:
+            yield all_grams()
+        if words:
+            yield all_words()
+
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    return scratch.keep(keyed.mapInArrow(run, BLOCKS), "blocks", compression="zstd")
 
 
 def remainder(key: str, of: int) -> Column:
@@ -159,14 +219,53 @@ def remainder(key: str, of: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % of
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """A shared table (token, c) of every word in docs and the end, and the byte triples with their counts."""
-    rows = scratch.keep(gather(docs), "counts")
-    words = scratch.keep(rows.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), "words")
-    codes = rows.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** 3 rows
-    scratch.drop(rows)
-    order = np.argsort(codes["code"].to_numpy())
-    return words, (codes["code"].to_numpy()[order], codes["n"].to_numpy()[order])
+def trie(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From counts(gram, c) of the longest grams: for each order from 0 on, grams(gram, c) and contexts(context, total, kinds, below).
+
+    `below` is how often the next shorter context saw the followers of this one.
+    """
+    levels = [counts.where("c > 0").select("gram", "c")]
+    for k in range(ORDER - 1, -1, -1):
+        shorter = F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1)
+        levels.insert(0, scratch.keep(levels[0].groupBy(shorter.alias("gram")).agg(F.sum("c").alias("c")), f"grams-{k}"))
+    contexts = []
+    for k, level in enumerate(levels):
+        own = level.withColumn("context", F.shiftright("gram", 8))
+        if k:
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND((1 << (8 * k)) - 1))
+            own = own.join(levels[k - 1].select(F.col("gram").alias("suffix"), F.col("c").alias("less")), "suffix")
+        else:
+            own = own.withColumn("less", F.lit(0).cast("long"))
+        found = own.groupBy("context").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum("less").alias("below"))
+        contexts.append(scratch.keep(found, f"contexts-{k}"))
+    return levels, contexts
+
+
+def code_lengths(counts: DataFrame) -> DataFrame:
+    """(gram, p): log10 of the probability of each gram's last byte after its others, for all of counts(gram, c), c = 0 included."""
+    levels, contexts = trie(counts)
+    escape = lambda kinds, known: F.when(F.col(kinds) == 256, 0).otherwise(F.col(kinds) - known)
+    none = F.lit(0).cast("long")
+    top = counts.withColumn("context", F.shiftright("gram", 8)).join(contexts[ORDER], "context", "left")
+    top = top.withColumn("out", escape("kinds", none)).select(
+        "gram", "c", F.log10(F.when(F.col("c") > 0, F.col("c")).otherwise(F.col("out")) / (F.col("total") + F.col("out"))).alias("p"),
+        F.coalesce("below", none).alias("gone"), F.coalesce("kinds", none).alias("known"),
+    )
+    top = scratch.keep(top.withColumn("p", F.coalesce("p", F.lit(0.0))), "longest")
+    done = [top.where("c > 0").select("gram", "p")]
+    left = top.where("c = 0").drop("c")  # each of these goes on to shorter contexts
+    for k in range(ORDER - 1, -1, -1):
+        left = left.withColumn("own", F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1)).withColumn("context", F.shiftright("own", 8))
+        left = left.join(levels[k].select(F.col("gram").alias("own"), "c"), "own", "left").join(contexts[k], "context", "left")
+        left = left.withColumn("out", F.coalesce(escape("kinds", F.col("known")), none)).withColumn("rest", F.coalesce(F.col("total") - F.col("gone"), none))
+        share = F.when(F.col("c").isNotNull(), F.col("c")).when(F.col("rest") > 0, F.col("out")) / F.when(F.col("rest") > 0, F.col("rest") + F.col("out"))
+        left = scratch.keep(left.select("gram", (F.col("p") + F.coalesce(F.log10(share), F.lit(0.0))).alias("p"), F.col("c").isNotNull().alias("found"), F.coalesce("below", none).alias("gone"), F.coalesce("kinds", none).alias("known")), f"escaped-{k}")
+        done.append(left.where("found").select("gram", "p"))
+        left = left.where("not found").drop("found")
+    done.append(left.select("gram", F.col("p") - F.log10(256 - F.col("known"))))
+    for part in done[1:]:
+        done[0] = done[0].unionByName(part.toDF("gram", "p"))
+    return done[0]
 
 
 def hot_count(words: DataFrame, hot: int) -> int:
@@ -183,23 +282,29 @@ def hot_count(words: DataFrame, hot: int) -> int:
     return least if least is not None else 1 << 62
 
 
-def score(docs: DataFrame, words: DataFrame, triple_counts: tuple[np.ndarray, np.ndarray], hot: int = HOT) -> DataFrame:
-    """docs(doc_id, held_out, text) with the two scores of every whole text, as op8's contract names them."""
+def score(docs: DataFrame, hot: int = HOT, block_bytes: int = BLOCK) -> DataFrame:
+    """docs(doc_id, held_out, text) with the two scores of every whole text, as op8's contract names them, trained on those not held out."""
     spark = docs.sparkSession
+    blocks = in_blocks(docs, block_bytes)
+    words = scratch.keep(blocks.where(f"kind = {TOKENS}").groupBy("token").agg(F.sum("n").alias("c")), "words")
+    asked = blocks.where(f"kind = {GRAMS}").select("block", "gram", "n")
+    counts = scratch.keep(asked.groupBy("gram").agg(F.sum("n").alias("c")), "grams")
+    answers = asked.select("block", "gram").join(code_lengths(counts).select("gram", F.col("p").cast("float").alias("p")), "gram").select(F.col("block").alias("to"), "gram", "p")
+
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     common = words.where(F.col("c") >= hot_count(words, hot)).toArrow()  # at most `hot` rows
-    model = spark.sparkContext.broadcast((dict(zip(common["token"].to_pylist(), common["c"].to_pylist(), strict=True)), triple_counts))
+    held = spark.sparkContext.broadcast(dict(zip(common["token"].to_pylist(), common["c"].to_pylist(), strict=True)))
     below = n + 0.5 * (v + 1)
     made: dict = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(texts_of: pa.Table, answer: pa.Table) -> pa.Table:
         if not made:
-            known, (codes, counts) = model.value
-            made["trie"] = Trie(codes, counts)
-            made["log"] = {w: float(np.log10((c + 0.5) / below)) for w, c in known.items()}
-        trie, log = made["trie"], made["log"]
-        for batch in batches:
-            texts = [lower_bytes(t) for t in batch.column(3).to_pylist()]
+            made["log"] = {w: float(np.log10((c + 0.5) / below)) for w, c in held.value.items()}
+        log = made["log"]
+        lookup = Lookup(answer["gram"].to_numpy(), answer["p"].to_numpy())
+        out = []
+        for batch in texts_of.to_batches(max_chunksize=256):
+            texts = [lower_bytes(t) for t in batch["text"].to_pylist()]
             totals, n_tokens, n_hot, rest, ends, times = [], [], [], [], [0], []
             for t in texts:
                 found = Counter(t.split())
@@ -217,12 +322,14 @@ def score(docs: DataFrame, words: DataFrame, triple_counts: tuple[np.ndarray, np
                 n_tokens.append(size)
                 n_hot.append(hits)
                 ends.append(len(rest))
-            scores = np.concatenate([trie.scores(texts[at : at + 256]) for at in range(0, len(texts), 256)] or [np.zeros(0)])
             rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["token", "k"]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(totals, pa.float64()), pa.array(scores), rare], names=["key", "doc_id", "held_out", "n_tokens", "n_hot", "hot_score", "score", "rare"])
+            columns = [batch["key"], batch["doc_id"], batch["held_out"], pa.array(n_tokens, pa.int64()), pa.array(n_hot, pa.int64()), pa.array(totals, pa.float64()), pa.array(lookup.scores(texts)), rare]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "held_out", "n_tokens", "n_hot", "hot_score", "score", "rare"]))
+        return pa.Table.from_batches(out)
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "held_out", "text")
-    own = scratch.keep(keyed.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_hot long, hot_score double, score double, rare array<struct<token:binary,k:long>>"), "scored")
+    texts = blocks.where(f"kind = {TEXTS}").select("block", "key", "doc_id", "held_out", "text")
+    own = scratch.keep(texts.groupBy("block").cogroup(answers.groupBy("to")).applyInArrow(finish, SCORED), "scored")
+    scratch.drop(blocks, counts)
     rare = own.select("key", F.explode("rare").alias("r")).select("key", "r.token", "r.k").join(words, "token", "left")
     c = F.coalesce("c", F.lit(0))
     sums = rare.groupBy("key").agg(F.sum(F.col("k") * F.log10((c + 0.5) / F.lit(below))).alias("rare_score"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("n_rare"))
@@ -239,6 +346,4 @@ def score_corpus(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     training rows all counts are zero and the byte model is uniform. Other columns are not read.
     """
     scratch.long_rows(docs.sparkSession)
-    own = docs.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), "text")
-    words, codes = train(own.where("not held_out"))
-    return score(own, words, codes)
+    return score(docs.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), "text"))

@@ -37,10 +37,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
-def keep(df: DataFrame, name: str = "part") -> DataFrame:
+def keep(df: DataFrame, name: str = "part", **options: str) -> DataFrame:
     """Writes df as a shared Parquet table and returns that table."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path  # for drop()
     return out
