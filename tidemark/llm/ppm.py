@@ -29,8 +29,8 @@ from . import scratch
 ORDER, EDGE = 4, 0xFF
 #: Bytes of text that share one request to the trie; a longer text is a block of its own.
 BLOCK = 16 << 20
-#: Positions that are worked on at once, and entries of a table that is indexed rather than searched.
-STEP, DENSE = 1 << 20, 1 << 22
+#: Positions that are counted, or looked up, at once, and entries of a table that is indexed rather than searched.
+STEP, WALK, DENSE = 1 << 20, 1 << 16, 1 << 22
 #: Commonest words that every worker holds.
 HOT = 200_000
 #: Distinct words that a task counts before it passes them on.
@@ -53,23 +53,15 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.cumsum(sizes) - sizes
 
 
-def predicted(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """True where a byte is part of a text's code, so not its leading context."""
-    mask = np.ones(len(flat), bool)
-    for k in range(ORDER):
-        mask[starts + k] = False
-    return mask
-
-
-def stretches(flat: np.ndarray) -> Iterator[tuple[int, int]]:
+def stretches(flat: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
     """All positions that have a whole context, some at a time."""
-    for at in range(ORDER, len(flat), STEP):
-        yield at, min(at + STEP, len(flat))
+    for at in range(ORDER, len(flat), step):
+        yield at, min(at + step, len(flat))
 
 
 def alphabet(used: np.ndarray) -> tuple[np.ndarray, int]:
     """A number for each byte of used, and how many there are."""
-    slot = np.zeros(256, np.int64)
+    slot = np.zeros(256, np.int32)
     slot[used] = np.arange(len(used))
     return slot, len(used)
 
@@ -78,21 +70,28 @@ def ranked(codes: np.ndarray, size: int, dense: int) -> tuple[np.ndarray, int]:
     """Codes below size, numbered anew without holes."""
     if size > dense:
         found, at = np.unique(codes, return_inverse=True)
-        return at, len(found)
-    found = np.zeros(size, bool)
-    found[codes] = True
-    number = np.cumsum(found) - 1
-    return number[codes], int(number[-1]) + 1
-
-
-def grams(texts: list[bytes], training: np.ndarray, dense: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(gram, count) of every byte with the `ORDER` before it, some positions at a time; texts that aren't for training count 0."""
+        return at.astype(np.int32), len(found)
+    seen = np.zeros(size, bool)
+    seen[codes] = True
+    found = np.nonzero(seen)[0]
+    number = np.empty(size, np.int32)
+    number[found] = np.arange(len(found))
+    return number[codes], len(found)
+
+
+def extended(codes: np.ndarray, size: int, m: int, digit: np.ndarray) -> np.ndarray:
+    """codes * m + digit, in 64 bits where 32 don't do."""
+    if size * m >= 1 << 31:
+        codes = codes.astype(np.int64)
+    out = codes * codes.dtype.type(m)
+    out += digit
+    return out
+
+
+def grams(texts: list[bytes], dense: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(gram, count) of every byte with the `ORDER` before it, some positions at a time."""
     flat, starts = joined(texts)
-    if not len(texts):
-        return
-    mask = predicted(flat, starts)
-    counted = mask & np.repeat(training, np.diff(np.append(starts, len(flat))))
-    for s, e in stretches(flat):
+    for s, e in stretches(flat, STEP):
         x = flat[s - ORDER : e]
         slot, m = alphabet(np.nonzero(np.bincount(x, minlength=256))[0])
         y = slot[x]
@@ -100,17 +99,18 @@ def grams(texts: list[bytes], training: np.ndarray, dense: int = DENSE) -> Itera
         for k in range(1, ORDER + 1):
             if size * m > dense:
                 codes, size = ranked(codes, size, dense)
-            codes, size = codes * m + y[k : k + e - s], size * m
+            codes, size = extended(codes, size, m, y[k : k + e - s]), size * m
         codes, size = ranked(codes, size, dense)
-        places = np.nonzero(mask[s:e])[0]
-        one = np.full(size, -1)
-        one[codes[places]] = places  # some place of each gram
-        n = np.bincount(codes[counted[s:e]], minlength=size)
-        real = one >= 0
+        i, j = np.searchsorted(starts, [s - ORDER, e])
+        leading = (starts[i:j, None] + np.arange(ORDER) - s).reshape(-1)  # the context before a text isn't part of its code
+        codes[leading[(leading >= 0) & (leading < e - s)]] = size
+        place = np.full(size + 1, -1, np.int32)
+        place[codes] = np.arange(e - s, dtype=np.int32)  # some place of each gram
+        real = place[:size] >= 0
         found = np.zeros(int(real.sum()), np.int64)
         for k in range(ORDER + 1):
-            found = (found << 8) | x[one[real] + k]
-        yield found, n[real]
+            found = (found << 8) | x[place[:size][real] + k]
+        yield found, np.bincount(codes, minlength=size + 1)[:size][real]
 
 
 def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,37 +125,36 @@ class Lookup:
     def __init__(self, found: np.ndarray, values: np.ndarray, dense: int = DENSE):
         order = np.argsort(found)
         found, self.values = found[order], values[order]
-        used = np.unique(np.concatenate([(found >> (8 * k)) & 255 for k in range(ORDER + 1)]))
+        used = np.unique(np.concatenate([np.unique((found >> (8 * k)) & 255) for k in range(ORDER + 1)]))
         self.slot, self.m = alphabet(used)
-        self.steps: list[tuple[bool, np.ndarray]] = []
         above = np.unique(found >> (8 * ORDER))
-        self.first = np.zeros(256, np.int64)
+        self.first = np.zeros(256, np.int32)
         self.first[above] = np.arange(len(above))
+        self.steps: list[tuple[bool, int, np.ndarray]] = []  # is it indexed, how many nodes are above, next nodes by code
         for k in range(ORDER - 1, -1, -1):
             here = np.unique(found >> (8 * k))
             codes = np.searchsorted(above, here >> 8) * self.m + self.slot[here & 255]
-            if len(above) * self.m <= dense:
+            direct = len(above) * self.m <= dense
+            if direct:
                 table = np.zeros(len(above) * self.m, np.int32)
                 table[codes] = np.arange(len(here))
-                self.steps.append((True, table))
-            else:
-                self.steps.append((False, codes))  # ascending, as here is
+            self.steps.append((direct, len(above), table if direct else codes))  # codes ascend, as here does
             above = here
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The sum over each text and its end."""
         flat, starts = joined(texts)
         out = np.zeros(len(texts))
-        if not len(texts):
-            return out
-        mask = predicted(flat, starts)
-        for s, e in stretches(flat):
+        for s, e in stretches(flat, WALK):
             x = flat[s - ORDER : e]
             y, at = self.slot[x], self.first[x[: e - s]]
-            for k, (direct, table) in enumerate(self.steps, 1):
-                codes = at * self.m + y[k : k + e - s]
-                at = table[codes].astype(np.int64) if direct else np.minimum(np.searchsorted(table, codes), len(table) - 1)
-            part = np.where(mask[s:e], self.values[at], 0.0)
+            for k, (direct, above, table) in enumerate(self.steps, 1):
+                codes = extended(at, above, self.m, y[k : k + e - s])
+                at = table[codes] if direct else np.minimum(np.searchsorted(table, codes), len(table) - 1).astype(np.int32)
+            part = self.values[at].astype(np.float64)
+            i, j = np.searchsorted(starts, [s - ORDER, e])
+            leading = (starts[i:j, None] + np.arange(ORDER) - s).reshape(-1)
+            part[leading[(leading >= 0) & (leading < e - s)]] = 0.0
             i, j = np.searchsorted(starts, [s, e - 1], side="right") - 1
             out[i : j + 1] += np.add.reduceat(part, np.maximum(starts[i : j + 1] - s, 0))
         return out
@@ -194,10 +193,11 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK) -> DataFrame:
                 if own:
                     words.update(t.split())
                     words[b""] += 1
-            for part in grams(texts, training):
-                parts.append(part)
-                if len(parts) > 8:
-                    parts = [summed(parts)]
+            for counted in (True, False):
+                for found, n in grams([t for t, own in zip(texts, training, strict=True) if own == counted]):
+                    parts.append((found, n * counted))
+                    if len(parts) > 8:
+                        parts = [summed(parts)]
             held += sum(map(len, texts))
             if held > block_bytes:
                 yield all_grams()
