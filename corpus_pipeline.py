@@ -19,7 +19,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles with Jaccard similarity of at least 0.8."""
+    """One document of each group of near copies: 5-word shingles with Jaccard similarity of at least 0.8, checked on all that SimHash links and MinHash bands propose."""
     return minhash.keep_representatives(docs)
 
 

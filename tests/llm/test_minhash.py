@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidemark.llm import minhash
 
@@ -59,3 +61,33 @@ def test_edited_copies(spark, docs_of, odd):
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted((rows[i] for i in brute_kept(rows)), key=key)
     assert minhash.keep_representatives(docs_of([])).collect() == []
+
+
+def nodes_and_rows(texts, docs_of):
+    """What minhash.links takes, with texts as nodes 0, 1, ... that share no band."""
+    rows = docs_of(texts).select(F.col("doc_id").alias("row"), "doc_id", "text")
+    return minhash.signatures(rows).select(F.col("row").alias("node"), "size", "fp", F.array("row").alias("bands")), rows
+
+
+def test_fingerprints_link_without_bands(docs_of):
+    """Pairs with few edits, and equal fingerprints of sets that differ, are found by SimHash alone; each is checked on whole sets."""
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):
+        w = [f"a{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join([*w[:-1], f"e{k}"])]
+    nodes, rows = nodes_and_rows(texts, docs_of)
+    prints = {r.node: r.fp for r in nodes.collect()}
+    want = {(i, i + 1) for i in range(0, 80, 2) if ((prints[i] ^ prints[i + 1]) % (1 << 64)).bit_count() <= minhash.CLOSE}
+    assert len(want) >= 20 and {(r.u, r.v) for r in minhash.links(nodes, rows).collect()} == want
+    same = nodes.withColumn("fp", F.lit(7).cast("long")).where("node in (0, 1, 2)")
+    assert {(r.u, r.v) for r in minhash.close(same).collect()} == {(0, 1), (0, 2)}
+    assert {(r.u, r.v) for r in minhash.links(same, rows).collect()} == {(0, 1)}
+
+
+def test_stage_takes_fingerprints(docs_of, monkeypatch):
+    """The stage asks op1's operator for its links."""
+    asked, links = [], minhash.simhash.links
+    monkeypatch.setattr(minhash.simhash, "links", lambda fps, *radius: asked.append(radius) or links(fps, *radius))
+    kept = corpus_pipeline.keep_distinct(None, docs_of(["a b c", "a b c", "d"]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2] and asked == [(minhash.CLOSE, minhash.BLOCKS)]

@@ -77,6 +77,21 @@ def test_full_keys_lose_no_link(spark, seed):
             assert find(int(s[i])) == find(int(s[i + 1 + j]))
 
 
+def test_other_radius(spark):
+    """Three bits by six blocks, keys that are too full included."""
+    rng = random.Random(3)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    far = [flip(c, k) for c in [rng.getrandbits(64) for _ in range(60)] for k in (0, 3, 4)]
+    c = rng.getrandbits(64)
+    a = np.array(sorted({*far, *(flip(c, k) for k in (0, 1, 2, 3) for _ in range(150))}), np.uint64)
+    fps = spark.createDataFrame([(int(x),) for x in a.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in components.components(simhash.links(fps, 3, 6)).collect()}
+    s = a.view(np.int64).tolist()
+    pairs = [(s[i], s[j]) for i in range(len(s)) for j in range(i) if (int(a[i]) ^ int(a[j])).bit_count() <= 3]
+    assert all(u in roots and v in roots and roots[u] == roots[v] for u, v in pairs) and {x for p in pairs for x in p} == set(roots)
+    assert len(simhash.first_masks(3, 6)) == 20 and simhash.first_masks() == simhash.first_masks(2, 4)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

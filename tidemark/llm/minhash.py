@@ -1,12 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, the whole sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and then MinHash bands propose pairs, the whole sets decide.
 
-Texts with equal sets of shingles are one node. A band is a hash of `ROWS` minima; two sets of similarity s share one
-of `BANDS` bands with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, more above. In each band value, nodes
-are first held against their neighbour in a random order, so a large group of near copies comes together
+Texts with equal sets of shingles are one node. Nodes whose SimHash fingerprints differ in at most `CLOSE` bits are linked first,
+by the blocks of op1's operator. Sets of similarity 0.8 differ in some 10 of 64 bits, too many for blocks, so bands
+complete these links. A band is a hash of `ROWS` minima; two sets of similarity s share one
+of `BANDS` bands with probability 1 - (1 - s ** ROWS) ** BANDS: 0.9999 at 0.8, more above. In each band value, nodes that
+aren't linked yet are first held against their neighbour in a random order, so a large group of near copies comes together
 in pairs that grow with its size, not its square, and against the node with the smallest share of hashes of its own.
 Then whoever isn't in a value's largest component is held against all nodes of other components with which it has one of its
 rarest hashes in common, as any two similar sets have. Nothing is cut: each two nodes that share a band are in one component, or compared,
-or too different. Every link has its exact similarity checked.
+or too different. Every link, by fingerprint or band, has its exact similarity checked.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, simhash
 from .components import components
 from .simhash import shingle_hashes
 
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
+#: Bits in which fingerprints that are linked may differ, and the blocks for it: keys have 32 bits, as op1's.
+CLOSE, BLOCKS = 3, 6
 #: Similarity from which texts are near copies, as a fraction so that the test is exact.
 SIMILAR = (4, 5)
 #: Shingles that are hashed at once.
@@ -50,15 +54,16 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, same, size, bands) of rows(row, doc_id, text): a digest of the set, its size and its bands."""
+    """(row, doc_id, same, size, fp, bands) of rows(row, doc_id, text): a digest of the set, its size, fingerprint and bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(2).to_pylist()]
-            made = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["row", "doc_id", "same", "size", "bands"])
+            prints = np.array([simhash.fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            made = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["row", "doc_id", "same", "size", "fp", "bands"])
 
-    return rows.mapInArrow(run, "row long, doc_id long, same binary, size long, bands array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, same binary, size long, fp long, bands array<long>")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -130,10 +135,21 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def close(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes(node, size, fp) with linked fingerprints: the first node of one and that of the other, or of equal ones each with the first."""
+    own = nodes.where("size > 0").select("node", "fp")
+    prints = scratch.keep(own.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "prints")
+    equal = own.join(prints.where("n > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    side = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    near = simhash.links(prints.select("fp"), CLOSE, BLOCKS).join(side("u"), "u").join(side("v"), "v").select(*ordered(F.col("u_first"), F.col("v_first")))
+    return scratch.keep(equal.unionByName(near), "close")
+
+
 def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of similar nodes(node, size, bands), enough to connect whatever similar pairs that share a band connect.
+    """Pairs (u, v) of similar nodes(node, size, fp, bands), enough to connect whatever similar pairs that share a band connect,
+    and all of similar sets that close() gives.
 
-    A set that shares a band with none, or has more hashes of its own than a similar one could lack, is in no pair, so a group
+    A set that shares a band with none and is close to none, or has more hashes of its own than a similar one could lack, is in no pair, so a group
     of copies with many edits each costs its size. What is left of a value is held against its neighbours first, and against the
     set with the least of its own, to which all copies of one text are close that can be close to each other.
     """
@@ -141,17 +157,23 @@ def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     each = nodes.select("node", F.explode("bands").alias("val"))
     others = each.select("node", "val", F.lag("node").over(turn).alias("before"), F.lead("node").over(turn).alias("after"))
     shared = scratch.keep(others.where("before is not null or after is not null").select("node", "val"), "shared")
-    sets = scratch.keep(sets_of(rows.join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi")), "sets")
+    pairs = close(nodes)
+    wanted = shared.select(F.col("node").alias("row")).unionByName(pairs.select(F.explode(F.array("u", "v")).alias("row"))).distinct()
+    sets = scratch.keep(sets_of(rows.join(wanted, "row", "left_semi")), "sets")
     able = scratch.keep(lone_hashes(sets).where((F.col("size") - F.col("lone")) * SIMILAR[1] >= F.col("size") * SIMILAR[0]), "able")
-    beside = shared.join(able, "node").select("*", *(F.lag(c).over(turn).alias(f"before_{c}") for c in ("node", "size", "lone")))
+    side = lambda c: able.select(F.col("node").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "lone")))
+    near = pairs.join(side("u"), "u").join(side("v"), "v").where(could_match(*map(F.col, ("u_size", "u_lone", "v_size", "v_lone"))))
+    linked = scratch.keep(verified(near.select("u", "v"), sets), "linked")
+    placed = able.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    beside = shared.join(placed, "node").select("*", *(F.lag(c).over(turn).alias(f"before_{c}") for c in ("node", "size", "lone", "root")))
     beside = scratch.keep(beside, "beside")
-    first = beside.where(F.col("before_node").isNotNull() & could_match(*map(F.col, ("size", "lone", "before_size", "before_lone"))))
-    core = F.min(F.struct((F.col("lone") / F.col("size")).alias("share"), "node", "size", "lone")).alias("core")
-    inner = beside.join(beside.groupBy("val").agg(core), "val").where(F.col("node") != F.col("core.node"))
+    first = beside.where((F.col("before_root") != F.col("root")) & could_match(*map(F.col, ("size", "lone", "before_size", "before_lone"))))
+    core = F.min(F.struct((F.col("lone") / F.col("size")).alias("share"), "node", "size", "lone", "root")).alias("core")
+    inner = beside.join(beside.groupBy("val").agg(core), "val").where(F.col("root") != F.col("core.root"))
     inner = inner.where(could_match(*map(F.col, ("size", "lone", "core.size", "core.lone"))))
     first = first.select(*ordered(F.col("node"), F.col("before_node"))).unionByName(inner.select(*ordered(F.col("node"), F.col("core.node"))))
     first = scratch.keep(first.distinct(), "neighbours")
-    found = scratch.keep(verified(first, sets), "links")
+    found = scratch.keep(linked.unionByName(verified(first, sets)), "links")
     rooted = beside.select("node", "size", "lone", "val").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = scratch.keep(rooted, "rooted")
     tops = rooted.groupBy("val", "root").agg(F.count("*").alias("n")).groupBy("val").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("top"))
@@ -160,7 +182,7 @@ def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     members = scratch.keep(members, "members")
     rest = proposed(members, rarest(sets.join(members.select("node"), "node", "left_semi")))
     rest = scratch.keep(rest.join(first, ["u", "v"], "left_anti"), "rest")
-    scratch.drop(shared, able, beside, rooted, mixed, members, first)
+    scratch.drop(shared, pairs, able, linked, beside, rooted, mixed, members, first)
     if rest.isEmpty():
         return found
     return scratch.keep(found.unionByName(verified(rest, sets)), "all-links")
@@ -181,7 +203,7 @@ def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text
     own = scratch.keep(signatures(rows), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     least = own.groupBy("same").agg(F.min(place).alias("place"))
-    nodes = scratch.keep(least.select("place").join(own.select("row", "size", "bands"), F.col("place.row") == F.col("row")).select(F.col("row").alias("node"), "place", "size", "bands"), "nodes")
+    nodes = scratch.keep(least.select("place").join(own.select("row", "size", "fp", "bands"), F.col("place.row") == F.col("row")).select(F.col("row").alias("node"), "place", "size", "fp", "bands"), "nodes")
     roots = components(links(nodes, rows))
     firsts = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("place")["row"].alias(name))
     return kept.join(firsts.select(name), name, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -5,7 +5,7 @@ at least two blocks, so each of the six pairs of blocks is a key to join on; pai
 then verified by their Hamming distance. Equal fingerprints are one row before any of this. Keys that
 more than `FULL` fingerprints share are not joined but cut again: their other bits fall into three parts,
 of which such a pair shares one. This ends when so few bits are left that a key can't hold many, so every
-link is found without a pair for all members of a group.
+link is found without a pair for all members of a group. Other radii take as many more blocks and parts.
 """
 
 from __future__ import annotations
@@ -66,22 +66,22 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def first_masks() -> list[int]:
-    width = BITS // BLOCKS
-    blocks = [((1 << width) - 1) << (width * k) for k in range(BLOCKS)]
-    return [signed(sum(some)) for some in combinations(blocks, BLOCKS - NEAR)]
+def first_masks(near: int = NEAR, blocks: int = BLOCKS) -> list[int]:
+    ends = [BITS * k // blocks for k in range(blocks + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in pairwise(ends)]
+    return [signed(sum(some)) for some in combinations(parts, blocks - near)]
 
 
-def next_masks(mask: int) -> list[int]:
-    """mask with each third of the bits that it lacks."""
+def next_masks(mask: int, near: int = NEAR) -> list[int]:
+    """mask with each part (a third, where near is two) of the bits that it lacks."""
     free = [b for b in range(BITS) if not mask >> b & 1]
-    return [signed((mask % (1 << BITS)) | sum(1 << b for b in free[k :: NEAR + 1])) for k in range(NEAR + 1)]
+    return [signed((mask % (1 << BITS)) | sum(1 << b for b in free[k :: near + 1])) for k in range(near + 1)]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints (column fp) with at most two differing bits: enough of
+def links(fps: DataFrame, near: int = NEAR, blocks: int = BLOCKS) -> DataFrame:
+    """Pairs (u, v), u < v, of distinct fingerprints (column fp) with at most `near` differing bits: enough of
     them, and each one verified, that they connect whatever such pairs connect; in keys that aren't too full, all."""
-    masks = first_masks()
+    masks = first_masks(near, blocks)
     rows = fps.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
     out = None
     while True:
@@ -91,11 +91,11 @@ def links(fps: DataFrame) -> DataFrame:
         full = (F.col("n") > FULL) & ~F.col("mask").isin(last) if last else F.col("n") > FULL
         shared = scratch.keep(keyed.join(sizes, ["mask", "val"]).select("fp", "mask", "val", full.alias("full")), "shared")
         few = shared.where("not full").select("mask", "val", F.col("fp").alias("u"))
-        near = few.join(few.withColumnRenamed("u", "v"), ["mask", "val"]).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= NEAR)).select("u", "v").distinct()
-        out = near if out is None else out.unionByName(near)
+        found = few.join(few.withColumnRenamed("u", "v"), ["mask", "val"]).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= near)).select("u", "v").distinct()
+        out = found if out is None else out.unionByName(found)
         if shared.where("full").isEmpty():
             return out.distinct()
-        children = {m: next_masks(m) for m in masks}
+        children = {m: next_masks(m, near) for m in masks}
         masks = sorted({c for some in children.values() for c in some})
         table = F.create_map(*(x for m, some in children.items() for x in (F.lit(m), F.array(*map(F.lit, some)))))
         rows = shared.where("full").select("fp", F.explode(F.element_at(table, F.col("mask"))).alias("mask")).distinct()
